@@ -4,7 +4,8 @@ Rules vote +1 (good), -1 (bad) or abstain (0).  Expectation-maximisation over
 the counts of vote patterns estimates each rule's accuracy and the share of
 good documents without labels; a document's posterior replaces the conjunction
 of all rules.  The pattern table has at most 3**len(rules) rows whatever the
-corpus size, so it alone comes to the driver; every document is counted in it.
+corpus size, so it alone comes to the driver; every document that passes the
+base rules is counted in it, since the others are decided without votes.
 
 Nulls and empty texts have no words and fail the base rules.  Other columns
 of the input are ignored.
@@ -26,7 +27,7 @@ WINDOW = 5
 ROUNDS, PRIOR = 50, 0.6
 #: A rule is written to be precise and to see its own kind of defect: bounds on P(bad vote | good) and P(bad vote | bad).
 FALSE_ALARM, LEAST_SEEN = 0.005, 0.15
-RULES = ("symbols", "shouting", "repeats", "word_length", "short", "bangs")
+RULES = ("symbols", "shouting", "repeats", "word_length", "bangs")
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -83,11 +84,10 @@ def votes() -> dict[str, Column]:
     """The vote of each rule; a rule abstains between its two bounds."""
     w, c = F.col("n_words"), F.col("word_chars")
     return {
-        "symbols": _vote(2 * F.col("n_symbols") > w, 50 * F.col("n_symbols") <= w),
+        "symbols": _vote(10 * F.col("n_symbols") > 3 * w, 50 * F.col("n_symbols") <= w),
         "shouting": _vote(2 * F.col("n_upper") > c, 5 * F.col("n_upper") < c),
-        "repeats": _vote((100 * F.col("n_repeat_words") > 15 * w) | (10 * F.col("n_dup_lines") > 5 * F.col("n_lines")), 100 * F.col("n_repeat_words") <= 5 * w),
+        "repeats": _vote(2 * F.col("n_dup_lines") > F.col("n_lines"), 100 * F.col("n_repeat_words") <= 5 * w),
         "word_length": _vote((c < 2 * w) | (c > 12 * w), (c >= 3 * w) & (c <= 10 * w)),
-        "short": _vote(w < 10, w >= 40),
         "bangs": _vote(4 * F.col("n_bangs") > w, 50 * F.col("n_bangs") <= w),
     }
 
@@ -145,7 +145,7 @@ def weak_supervision(docs: DataFrame, text: str = "text", key: str = "doc_id", t
     named = votes()
     shared = Shared(docs.sparkSession, "quality-rules")
     d = shared.keep(measured(docs, text, key), "measured")  # texts are read once; a few numbers a document are kept
-    seen = d.groupBy(*[v.alias(k) for k, v in named.items()]).count().collect()
+    seen = d.where(~base_failed()).groupBy(*[v.alias(k) for k, v in named.items()]).count().collect()
     model = fit(sorted((tuple(r[k] for k in named), r["count"]) for r in seen))
     z = F.lit(math.log(model["prior"] / (1 - model["prior"])))
     for (_, v), t in zip(named.items(), model["table"], strict=True):
