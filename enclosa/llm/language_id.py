@@ -127,8 +127,8 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "
     return {"langs": langs, "code": code, "w": w, "b": b, "alpha": alpha}
 
 
-def language_id(docs: DataFrame, model: dict | None, text: str = "text", key: str = "doc_id", least_gap: float = 0.02, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous, bit_distance for every row; with ``keep``, the columns of ``docs`` come first.
+def language_id(docs: DataFrame, model: dict | None, text: str = "text", key: str = "doc_id", least_gap: float = 0.02, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous, bit_distance for every row; with ``extra``, the text and these columns follow.
 
     ``ambiguous``: the losses of the two nearest codewords differ by less than
     ``least_gap``.  ``bit_distance``: bits in which the predicted signs differ
@@ -152,8 +152,10 @@ def language_id(docs: DataFrame, model: dict | None, text: str = "text", key: st
                     pred[has], score[has], gap[has] = best[has], p[has], g[has]
                     apart[has] = (np.sign(margins) != m["code"][best]).sum(1)[has]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n).cast(pa.int64()), b.column(1).slice(lo, n), pa.array(langs[pred], pa.string()), pa.array(score), pa.array(gap < least_gap), pa.array(apart)],
-                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous", "bit_distance"],
+                    [b.column(0).slice(lo, n).cast(pa.int64()), b.column(1).slice(lo, n), pa.array(langs[pred], pa.string()), pa.array(score), pa.array(gap < least_gap), pa.array(apart), *(b.column(c).slice(lo, n) for c in (range(2, b.num_columns) if more else ()))],
+                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous", "bit_distance", *more],
                 )
 
-    return docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text")).mapInArrow(part, SCHEMA)
+    more = ["text", *extra] if extra is not None else []
+    d = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).alias("text"), *(extra or ()))
+    return d.mapInArrow(part, ", ".join([SCHEMA, *(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in more)]))

@@ -20,8 +20,7 @@ part before each shuffle, and what comes back to a document is about that docume
 
 A null text is empty.  Texts of less than LENGTH bytes lose nothing.  doc_id
 must be unique, from -2**35 to 2**35, and a text has less than 2**28 bytes;
-otherwise the query fails with an error.  Other columns are ignored, or kept by
-``deduplicated``.
+otherwise the query fails with an error.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -209,7 +208,7 @@ def _removed(row, first, last, off, unique, outs, kept, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-def _finished(text_out: bool):
+def _finished(text_out: bool, extra: list[str]):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in blocks(b.column(1)):
@@ -222,7 +221,7 @@ def _finished(text_out: bool):
                     spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
                     out.append((len(x), int(g.sum()), spans, rest.decode("utf-8", "ignore") if text_out else hashlib.sha256(rest).hexdigest()))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "last"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *cols, *(b.column(k).slice(lo, hi - lo) for k in range(5, b.num_columns))], ["doc_id", "n_bytes", "n_removed", "n_spans", "last", *extra])
 
     return part
 
@@ -231,16 +230,17 @@ def _located(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.shiftright("pos", START_BITS).alias("doc_id"), F.col("pos").bitwiseAND((1 << START_BITS) - 1).alias("start"), *more)
 
 
-def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out: bool = False) -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out: bool = False, extra: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row; with ``text_out`` the remaining ``text`` in place of its hash.
 
-    Bytes of a character that was cut are dropped from ``text``.
+    Bytes of a character that was cut are dropped from ``text``.  Columns named
+    in ``extra`` follow.
     """
     spark = docs.sparkSession
     shared = Shared(spark, "substring-dedup")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *(extra or ()))
 
-    anchors = docs.mapInArrow(_anchors, "anchor long, pos long")
+    anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, pos long")
     alone = anchors.groupBy("anchor").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).where("n = 1")
     unique = shared.keep(_located(alone).groupBy("doc_id").agg(F.collect_list("start").alias("unique")), "unique")
     shared.release()
@@ -268,6 +268,6 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out:
     lists = unique.join(outs, "doc_id", "full").join(kept, "doc_id", "full")
     every = docs.join(lists, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("unique", none).alias("unique"),
-        F.coalesce("outs", F.array().cast("array<struct<start:bigint,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"))
-    out = every.mapInArrow(_finished(text_out), "doc_id long, n_bytes long, n_removed long, n_spans long, last string")
+        F.coalesce("outs", F.array().cast("array<struct<start:bigint,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *(extra or ()))
+    out = every.mapInArrow(_finished(text_out, extra or []), ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra or ())]))
     return out.withColumnRenamed("last", "text" if text_out else "kept_sha256")
