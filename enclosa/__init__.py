@@ -1,0 +1 @@
+"""Verified matrix analytics on Spark DataFrames."""

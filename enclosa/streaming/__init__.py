@@ -1,0 +1 @@
+"""Nothing here: the operators of this library are bounded batch computations, none of them a stream."""
