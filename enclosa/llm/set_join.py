@@ -18,8 +18,9 @@ components that remain in it are then found block by block from the sketches.
 
 Words are split at space and TAB to CR after A-Z are lower-cased.  With fewer
 than n words the whole sequence is the one shingle; a null text or one without
-words has the empty set and is linked with nothing.  Copies link.  Other columns
-are ignored.
+words has the empty set and is linked with nothing.  Copies link.  Rows that
+repeat a doc_id count as that document.  A row without doc_id has the component
+of a document with the same set, or none.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from enclosa.llm.components import components
 from enclosa.llm.textblocks import NOT_SPACE, blocks, by_row, lower_ascii, mix, shingle_hashes, word_hashes, word_spans
 
 N, PERCENT = 4, 85
-#: Sizes of a band differ by this factor at most; bytes of the parity sketch; largest group whose pairs are all compared.
-BAND, SKETCH, GROUP = 1.5, 64, 48
+#: Sizes of a band differ by this factor at most; bits of the parity sketch for each element; largest group whose pairs are all compared.
+BAND, SKETCH, GROUP = 1.5, 2, 48
 #: What writing a row costs against comparing two rows that meet.
 ROW_COST = 8.0
 
@@ -164,16 +165,35 @@ def _binary(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off * 8, np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def parity(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Parities of hashed elements, n x SKETCH bytes: two sets differ in no fewer elements than sketches in bits."""
-    bit = (mix(h, 21) >> np.uint64(64 - 9)).astype(np.int64)
-    flat = np.bincount(rows * (8 * SKETCH) + bit, minlength=n * 8 * SKETCH) & 1
-    return np.packbits(flat.reshape(n, 8 * SKETCH).astype(np.uint8), axis=1)
+def parity(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set, parities of its hashed elements in a power of two of bits, SKETCH times its size at least.
+
+    Two sets differ in no fewer elements than their sketches in bits; a longer
+    sketch is brought to a shorter one's length by adding its halves.
+    """
+    bits = 1 << np.maximum(9, np.ceil(np.log2(np.maximum(1, SKETCH * sizes))).astype(np.int64))
+    cut = np.concatenate([[0], np.cumsum(bits)])
+    place = cut[rows] + (mix(h, 21) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(cut[-1])) & 1).astype(np.uint8)).tobytes()
+    return [packed[i // 8 : j // 8] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def folded(x: np.ndarray, n: int) -> np.ndarray:
+    """A sketch (the last axis, 8-byte numbers) at n numbers."""
+    while x.shape[-1] > n:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def differ(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, n) ^ folded(b, n)).sum())
 
 
 _SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, sigs binary, sketch binary"
 _SETS = "doc_id long, own binary"
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 
 def summaries(docs: DataFrame, plan: Plan, text: str, key: str, n: int) -> DataFrame:
@@ -185,10 +205,10 @@ def summaries(docs: DataFrame, plan: Plan, text: str, key: str, n: int) -> DataF
                 sig, of = signatures(h, r, size, plan)
                 o = np.argsort(of, kind="stable")
                 cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))]).astype(np.int64)
-                sketch = parity(h, r, hi - lo)
+                sketch = parity(h, r, size)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sums(mix(h, 1), r, hi - lo).view(np.int64)), pa.array(sums(mix(h, 2), r, hi - lo).view(np.int64)),
-                     _binary(sig[o], cut), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                     _binary(sig[o], cut), pa.array(sketch, pa.binary())],
                     ["doc_id", "n_shingles", "h1", "h2", "sigs", "sketch"],
                 )
 
@@ -269,12 +289,6 @@ def _meet(percent: int):
     return part
 
 
-def _differ(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    a = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), SKETCH)
-    c = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), SKETCH)
-    return _BITS[a ^ c].sum(1)
-
-
 def _sketched(percent: int):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of (a, b, sizes, sketches), the pairs that may link."""
@@ -282,7 +296,8 @@ def _sketched(percent: int):
             if t.num_rows:
                 sa, sb = t.column(2).to_numpy(), t.column(3).to_numpy()
                 most = sa + sb - 2 * -(-percent * (sa + sb) // (100 + percent))
-                ok = (_differ(t.column(4).to_pylist(), t.column(5).to_pylist()) <= most) & (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb))
+                apart = np.array([differ(x, y) for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)])
+                ok = (apart <= most) & (100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     return part
@@ -315,7 +330,8 @@ def _left_over(percent: int):
                 return
             t = pa.Table.from_batches(parts)
             i, s, c = (t.column(k).to_numpy() for k in (1, 2, 3))
-            k = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(i), SKETCH // 8)
+            own = [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()]
+            k = np.stack([folded(x, min(map(len, own))) for x in own])
             for lo in range(0, len(i), 256):
                 sl = slice(lo, lo + 256)
                 for at in range(lo, len(i), 4096):
@@ -366,7 +382,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str, n: int, perce
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; doc_id must be unique.
+    """doc_id, n_shingles, component_id for every row of ``docs``.
 
     component_id is the least doc_id reachable by links, the row's own included.
     """
@@ -379,16 +395,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     texts = [sum(r["count"] for r in by_len if low[k] <= max(1, 2 ** (r["g"] / 4) / 6) < low[k + 1]) for k in range(len(low) - 1)]
     plan = Plan(low, texts, percent)
 
-    every = shared.keep(summaries(docs, plan, text, key, n), "summaries")
+    signed = shared.keep(summaries(docs, plan, text, key, n), "summaries")
+    every = shared.keep(signed.drop("sigs"), "sets")
     same = ["n_shingles", "h1", "h2"]
-    classes = shared.keep(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
-    reps = every.join(classes.select("id"), every["doc_id"] == F.col("id"), "left_semi")
+    classes = shared.keep(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
+    reps = signed.join(classes.select("id"), signed["doc_id"] == F.col("id"), "left_semi")
     rows = reps.select("doc_id", "n_shingles", "sigs").mapInArrow(_spread, "sig long, id long, size long")
     met = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "id").mapInArrow(_meet(percent), _MEET)
     met = shared.keep(met, "met")
+    shared.drop(signed)
     shared.release()
 
-    known = every.select(F.col("doc_id"), F.col("n_shingles").alias("size"), "sketch")
+    known = every.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.col("n_shingles").alias("size"), "sketch")
     pairs = met.where("sig IS NULL").select("a", "b").distinct()
     pairs = pairs.join(known.toDF("a", "sa", "ka"), "a").join(known.toDF("b", "sb", "kb"), "b")
     pairs = shared.keep(pairs.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_sketched(percent), "a long, b long"), "pairs")
