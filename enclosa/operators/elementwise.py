@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from enclosa.functions import expr as X
-from enclosa.types import DomainError, InvalidArgumentError, Matrix, StateError, is_ordered, same_shape
+from enclosa.types import VALUES, DomainError, InvalidArgumentError, Matrix, StateError, is_ordered, same_shape
 
 Values = tuple[Column, ...]
 
@@ -35,10 +35,17 @@ def mapped(a: Matrix, body: Callable[[Values], Values], elem: str | None = None)
 
 
 def _put(a: Matrix, df, values: Values, elem: str | None) -> Matrix:
-    from enclosa.types import VALUES
+    return Matrix(placed(df, a.keys, values, VALUES[elem or a.elem]), a.rows, a.cols, elem or a.elem, a.by)
 
-    names = VALUES[elem or a.elem]
-    return Matrix(df.select(*a.keys, *[v.alias(n) for v, n in zip(values, names, strict=True)]), a.rows, a.cols, elem or a.elem, a.by)
+
+def placed(df: DataFrame, keys: list[str], values: Values, names: tuple[str, ...]) -> DataFrame:
+    """``keys`` and the values under these names.
+
+    Two projections: within one, a name inside a lambda function can mean the
+    value just given that name in place of the column.
+    """
+    d = df.select(*keys, *[v.alias(f"_new_{n}") for v, n in zip(values, names, strict=True)])
+    return d.select(*keys, *[F.col(f"_new_{n}").alias(n) for n in names])
 
 
 def scalar(a: Matrix, x: float) -> Values:

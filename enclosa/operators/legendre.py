@@ -386,42 +386,70 @@ class Basis:
 
 # --- constants -----------------------------------------------------------------
 
-PI = (3.141592653589793, 3.1415926535897936)
+Bounds = tuple[float, float]
+PI: Bounds = (3.141592653589793, 3.1415926535897936)
 
 
-def _lit(x: float | tuple[float, float]) -> X.Pair:
-    lo, hi = x if isinstance(x, tuple) else (x, x)
-    return F.lit(float(lo)), F.lit(float(hi))
+def _out(lo: float, hi: float) -> Bounds:
+    return math.nextafter(lo, -math.inf), math.nextafter(hi, math.inf)
 
 
-def _row(spark: SparkSession, x: X.Pair) -> DataFrame:
-    return spark.range(1).select(x[0].alias("lo"), x[1].alias("hi"))
+def _plus(a: Bounds, b: Bounds) -> Bounds:
+    return _out(a[0] + b[0], a[1] + b[1])
+
+
+def _times(a: Bounds, b: Bounds) -> Bounds:
+    """Of positive bounds."""
+    return _out(a[0] * b[0], a[1] * b[1])
+
+
+def _inverse(a: Bounds) -> Bounds:
+    return _out(1 / a[1], 1 / a[0])
+
+
+def _root(a: Bounds) -> Bounds:
+    return _out(math.sqrt(a[0]), math.sqrt(a[1]))
+
+
+def _point(x: float) -> Bounds:
+    return float(x), float(x)
+
+
+def _row(spark: SparkSession, x: Bounds) -> DataFrame:
+    return spark.createDataFrame([x], "lo double, hi double")
+
+
+def _weight(weight: float | None) -> Bounds:
+    if weight is not None and weight < 0:
+        raise InvalidArgumentError(f"weight {weight}")
+    return _point(weight or 0.0)
 
 
 def ritz_constant(spark: SparkSession, n: int, weight: float | None = None) -> DataFrame:
     """(lo, hi): the constant of the Ritz projection onto order n, in the norm with ``weight`` if given."""
     if n < 2:
         raise InvalidArgumentError(f"order {n}")
-    one, s = _lit(1), {k: X.i_sqrt(_lit(2 * n + k)) for k in (3, 7, 11)}
-    inv = lambda x: X.i_div(one, x)
-    plain = lambda a, b: inv(_lit(2.0 * a * b))
-    mixed = lambda a, p, q: inv(X.i_mul(_lit(4.0 * a), X.i_mul(s[p], s[q])))
-    c1 = X.i_add(plain(2 * n + 1, 2 * n + 5), mixed(2 * n + 5, 3, 7))
-    c2 = X.i_add(X.i_add(mixed(2 * n + 5, 3, 7), plain(2 * n + 5, 2 * n + 9)), mixed(2 * n + 9, 7, 11))
-    c = X.i_sqrt((F.greatest(c1[0], c2[0]), F.greatest(c1[1], c2[1])))
+    w, s = _weight(weight), {k: _root(_point(2 * n + k)) for k in (3, 7, 11)}
+
+    def plain(a: int, b: int) -> Bounds:
+        return _inverse(_point(2 * a * b))
+
+    def mixed(a: int, p: int, q: int) -> Bounds:
+        return _inverse(_times(_point(4 * a), _times(s[p], s[q])))
+
+    first = _plus(plain(2 * n + 1, 2 * n + 5), mixed(2 * n + 5, 3, 7))
+    second = _plus(_plus(mixed(2 * n + 5, 3, 7), plain(2 * n + 5, 2 * n + 9)), mixed(2 * n + 9, 7, 11))
+    c = _root((max(first[0], second[0]), max(first[1], second[1])))
     if weight is not None:
-        if weight < 0:
-            raise InvalidArgumentError(f"weight {weight}")
-        c = X.i_mul(c, X.i_sqrt(X.i_add(one, X.i_mul(_lit(weight), X.i_pow(c, 2)))))
+        c = _times(c, _root(_plus(_point(1), _times(w, _times(c, c)))))
     return _row(spark, c)
 
 
 def poincare_constant(spark: SparkSession, dim: int, weight: float | None = None) -> DataFrame:
+    w = _weight(weight)
     if weight is None:
-        return _row(spark, X.i_div(_lit(1), X.i_mul(X.i_sqrt(_lit(dim)), _lit(PI))))
-    if weight < 0:
-        raise InvalidArgumentError(f"weight {weight}")
-    return _row(spark, X.i_div(_lit(1), X.i_sqrt(X.i_add(X.i_mul(_lit(dim), X.i_pow(_lit(PI), 2)), _lit(weight)))))
+        return _row(spark, _inverse(_times(_root(_point(dim)), PI)))
+    return _row(spark, _inverse(_root(_plus(_times(_point(dim), _times(PI, PI)), w))))
 
 
 def _spread(x: float, units: int = 64) -> tuple[float, float]:
@@ -435,8 +463,7 @@ def sobolev_constant(spark: SparkSession, dim: int, p: float, weight: float | No
     In one dimension the weight is not used; the constant holds for any.
     """
     n = float(dim)
-    if weight is not None and weight < 0:
-        raise InvalidArgumentError(f"weight {weight}")
+    _weight(weight)
     if dim < 1:
         raise DimensionError(f"dimension {dim}")
     least = 0.0 if dim == 1 else 2.0 if dim == 2 or weight is not None else n / (n - 1)
@@ -455,7 +482,7 @@ def sobolev_constant(spark: SparkSession, dim: int, p: float, weight: float | No
     else:
         s = max(0.0, n * (1 / p - 0.5 + 1 / n))
         c = ((n - 1) / (math.sqrt(n) * (n - 2))) ** (1 - s) * (s / (s * dim * math.pi**2 + weight)) ** (s / 2)
-    return _row(spark, _lit(_spread(c)))
+    return _row(spark, _spread(c))
 
 
 # --- branch and bound ----------------------------------------------------------

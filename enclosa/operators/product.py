@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from enclosa.functions import expr as X
-from enclosa.operators.elementwise import _mul, convert, mapped
+from enclosa.operators.elementwise import _mul, convert, mapped, placed
 from enclosa.operators.reduce import folded
 from enclosa.operators.reshape import transpose
 from enclosa.types import DimensionError, InvalidArgumentError, Matrix
@@ -45,7 +45,7 @@ def matmul(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
         d = other.df.join(s, list(a.by)) if a.by else other.df.crossJoin(F.broadcast(s))  # one row
         x, y = tuple(F.col(c) for c in a.values), tuple(F.col(c + "_b") for c in a.values)
         z = _mul(a.elem, y, x) if scalar_left else _mul(a.elem, x, y)
-        return other.like(d.select(*a.keys, *[v.alias(c) for v, c in zip(z, a.values, strict=True)]))
+        return other.like(placed(d, a.keys, z, a.values))
     if a.cols != b.rows:
         raise DimensionError(f"product of {a.rows} x {a.cols} and {b.rows} x {b.cols}")
     if mode == "block":
@@ -54,7 +54,7 @@ def matmul(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
         return dd_product(a, b)
     d = _joined(a, b)
     z = _mul(a.elem, tuple(F.col(c) for c in a.values), tuple(F.col(c + "_b") for c in a.values))
-    d = d.select(*a.by, "i", "k", "j", *[v.alias(c) for v, c in zip(z, a.values, strict=True)])
+    d = placed(d, [*a.by, "i", "k", "j"], z, a.values)
     d = folded(d, [*a.by, "i", "j"], ["k"], {c: F.col(c) for c in a.values}, a.elem, "exact" if mode == "plain" else mode)
     return a.like(d, a.rows, b.cols)
 
@@ -80,7 +80,7 @@ def gram(a: Matrix, mode: str = "exact") -> Matrix:
     if a.elem == "interval":
         square = X.i_pow(x, 2)
         z = tuple(F.when(F.col("i") == F.col("j"), s).otherwise(p) for s, p in zip(square, z, strict=True))
-    d = d.select(*a.by, "i", "k", "j", *[v.alias(c) for v, c in zip(z, a.values, strict=True)])
+    d = placed(d, [*a.by, "i", "k", "j"], z, a.values)
     half = folded(d, [*a.by, "i", "j"], ["k"], {c: F.col(c) for c in a.values}, a.elem, mode)
     both = F.explode(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j"))))
     return a.like(half.select(*a.by, both.alias("at"), *a.values).select(*a.by, "at.i", "at.j", *a.values), a.cols, a.cols)
@@ -109,13 +109,15 @@ def _block_product(a: Matrix, b: Matrix, size: int = BLOCK) -> Matrix:
         m[at] = v
         return m.reshape(size, size)
 
+    rows, cols, by = a.rows, b.cols, list(a.by)
+
     def multiply(frames):
         for f in frames:
             for r in f.itertuples(index=False):
                 z = dense(r.x_at, r.x) @ dense(r.y_at, r.y)
-                h, w = min(size, a.rows - r.bi * size), min(size, b.cols - r.bj * size)
+                h, w = min(size, rows - r.bi * size), min(size, cols - r.bj * size)
                 i, j = np.indices((h, w))
-                yield pd.DataFrame({**{c: getattr(r, c) for c in a.by}, "i": (i + r.bi * size).ravel().astype(np.int32), "j": (j + r.bj * size).ravel().astype(np.int32), "v": z[:h, :w].ravel()})
+                yield pd.DataFrame({**{c: getattr(r, c) for c in by}, "i": (i + r.bi * size).ravel().astype(np.int32), "j": (j + r.bj * size).ravel().astype(np.int32), "v": z[:h, :w].ravel()})
 
     d = joined.mapInPandas(multiply, schema).groupBy(*a.by, "i", "j").agg(F.sum("v").alias("v"))
     return a.like(d, a.rows, b.cols)
@@ -221,7 +223,7 @@ def fma_product(a: Matrix, b: Matrix) -> Matrix:
         rest = r + e
         return F.when(rest == 0, s).otherwise(outwards(s + rest))
 
-    step = lambda z, x: F.struct(one(z["lo"], x["low.p"], x["low.e"], X.dn).alias("lo"), one(z["hi"], x["high.p"], x["high.e"], X.up).alias("hi"))
+    step = lambda z, x: F.struct(one(z["lo"], x["low"]["p"], x["low"]["e"], X.dn).alias("lo"), one(z["hi"], x["high"]["p"], x["high"]["e"], X.up).alias("hi"))
     z = F.aggregate("items", F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")), step)
     return a.like(d.withColumn("z", z).select(*a.by, "i", "j", "z.lo", "z.hi"), a.rows, b.cols)
 

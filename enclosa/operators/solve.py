@@ -71,7 +71,7 @@ def grouped(some: list[Matrix], f: Callable[..., list[np.ndarray]], shapes: list
     if by:
         d = cells.groupBy(*by).applyInPandas(one, schema)
     else:
-        d = cells.groupBy(F.lit(0)).applyInPandas(one, schema)
+        d = cells.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(one, schema)
     return [Matrix(d.where(F.col("tag") == k).select(*by, "i", "j", "v"), *s, by=a.by) for k, s in enumerate(shapes)]
 
 

@@ -27,7 +27,7 @@ def _identity_removed(a: Matrix) -> Matrix:
 
 
 def _magnitudes(a: Matrix) -> DataFrame:
-    return a.df.select(*a.keys, X.i_mag((F.col("lo"), F.col("hi"))).alias("m"))
+    return a.df.select(*a.keys, X.i_mag((F.col("lo"), F.col("hi"))).alias("_m"))
 
 
 def upper_sum(items: Column) -> Column:
@@ -36,12 +36,12 @@ def upper_sum(items: Column) -> Column:
 
 
 def _line_sums(a: Matrix, line: str) -> DataFrame:
-    return _magnitudes(a).groupBy(*a.by, line).agg(upper_sum(F.collect_list("m")).alias("s"))
+    return _magnitudes(a).groupBy(*a.by, line).agg(upper_sum(F.collect_list("_m")).alias("_s"))
 
 
 def norm_bound(a: Matrix, line: str = "i") -> DataFrame:
-    """by, g: the greatest sum of magnitudes of a row ("i") or column ("j"), from above."""
-    return _line_sums(a, line).groupBy(*a.by).agg(F.max("s").alias("g"))
+    """by, _g: the greatest sum of magnitudes of a row ("i") or column ("j"), from above."""
+    return _line_sums(a, line).groupBy(*a.by).agg(F.max("_s").alias("_g"))
 
 
 def _with(d: DataFrame, other: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -69,20 +69,20 @@ def verified_solve(a: Matrix, b: Matrix) -> Matrix:
     rest = matmul(near, subtract(matmul(a, point), b))
     g = _identity_removed(matmul(near, a))
     rows = _line_sums(g, "i")
-    whole = norm_bound(g).select(*a.by, _below_one(F.col("g"), "the norm of R A - I").alias("g"))
-    size = _magnitudes(rest).groupBy(*a.by, "j").agg(F.max("m").alias("top"))
+    whole = norm_bound(g).select(*a.by, _below_one(F.col("_g"), "the norm of R A - I").alias("_g"))
+    size = _magnitudes(rest).groupBy(*a.by, "j").agg(F.max("_m").alias("_top"))
     d = _magnitudes(rest).join(size, [*a.by, "j"]).join(rows, [*a.by, "i"])
     d = _with(d, whole, a.by)
-    bound = X.up(F.col("m") + X.up(F.col("s") * X.up(F.col("top") / X.dn(1 - F.col("g")))))
-    d = d.select(*a.by, "i", "j", bound.alias("e")).join(x.df, x.keys)
-    return b.like(d.select(*b.keys, X.dn(F.col("v") - F.col("e")).alias("lo"), X.up(F.col("v") + F.col("e")).alias("hi")))
+    bound = X.up(F.col("_m") + X.up(F.col("_s") * X.up(F.col("_top") / X.dn(1 - F.col("_g")))))
+    d = d.select(*a.by, "i", "j", bound.alias("_e")).join(x.df, x.keys)
+    return b.like(d.select(*b.keys, X.dn(F.col("v") - F.col("_e")).alias("lo"), X.up(F.col("v") + F.col("_e")).alias("hi")))
 
 
 def _two_norm(a: Matrix, name: str) -> DataFrame:
     """by and a bound of the 2-norm: the root of the product of the other two."""
-    d = norm_bound(a, "i").withColumnRenamed("g", "p")
-    d = _with(d, norm_bound(a, "j").withColumnRenamed("g", "q"), a.by)
-    return d.select(*a.by, X.up(F.sqrt(X.up(F.col("p") * F.col("q")))).alias(name))
+    d = norm_bound(a, "i").withColumnRenamed("_g", "_p")
+    d = _with(d, norm_bound(a, "j").withColumnRenamed("_g", "_q"), a.by)
+    return d.select(*a.by, X.up(F.sqrt(X.up(F.col("_p") * F.col("_q")))).alias(name))
 
 
 def verified_eigsym(a: Matrix) -> Matrix:
@@ -93,11 +93,11 @@ def verified_eigsym(a: Matrix) -> Matrix:
     v = convert(vectors, "interval")
     rest = subtract(matmul(a, v), matmul(v, convert(values, "interval")))
     off = _identity_removed(matmul(transpose(v), v))
-    d = _with(_two_norm(rest, "p"), _two_norm(off, "q"), a.by)
-    d = d.select(*a.by, X.up(F.col("p") / X.dn(1 - _below_one(F.col("q"), "the norm of V'V - I"))).alias("e"))
+    d = _with(_two_norm(rest, "_p"), _two_norm(off, "_q"), a.by)
+    d = d.select(*a.by, X.up(F.col("_p") / X.dn(1 - _below_one(F.col("_q"), "the norm of V'V - I"))).alias("_e"))
     d = _with(values.df, d, a.by)
     on = F.col("i") == F.col("j")
-    return a.like(d.select(*a.keys, F.when(on, X.dn(F.col("v") - F.col("e"))).otherwise(0.0).alias("lo"), F.when(on, X.up(F.col("v") + F.col("e"))).otherwise(0.0).alias("hi")))
+    return a.like(d.select(*a.keys, F.when(on, X.dn(F.col("v") - F.col("_e"))).otherwise(0.0).alias("lo"), F.when(on, X.up(F.col("v") + F.col("_e"))).otherwise(0.0).alias("hi")))
 
 
 def merged(d: DataFrame, by: tuple[str, ...], key: str) -> DataFrame:
@@ -117,12 +117,12 @@ def verified_eigsymge(a: Matrix, b: Matrix) -> Matrix:
     y = convert(inverse(midpoint(bx)), "interval")
     r = matmul(y, subtract(matmul(a, x), matmul(bx, convert(values, "interval"))))
     s = _identity_removed(matmul(y, bx))
-    whole = _with(norm_bound(r).withColumnRenamed("g", "p"), norm_bound(s).withColumnRenamed("g", "q"), a.by)
-    whole = whole.select(*a.by, X.up(F.col("p") / X.dn(1 - _below_one(F.col("q"), "the norm of Y B X - I"))).alias("f"))
-    d = _line_sums(r, "i").withColumnRenamed("s", "r").join(_line_sums(s, "i"), [*a.by, "i"])
-    d = _with(d, whole, a.by).select(*a.by, "i", X.up(F.col("r") + X.up(F.col("f") * F.col("s"))).alias("e"))
+    whole = _with(norm_bound(r).withColumnRenamed("_g", "_p"), norm_bound(s).withColumnRenamed("_g", "_q"), a.by)
+    whole = whole.select(*a.by, X.up(F.col("_p") / X.dn(1 - _below_one(F.col("_q"), "the norm of Y B X - I"))).alias("_f"))
+    d = _line_sums(r, "i").withColumnRenamed("_s", "_r").join(_line_sums(s, "i"), [*a.by, "i"])
+    d = _with(d, whole, a.by).select(*a.by, "i", X.up(F.col("_r") + X.up(F.col("_f") * F.col("_s"))).alias("_e"))
     d = values.df.where("i = j").join(d, [*a.by, "i"])
-    d = merged(d.select(*a.by, "i", X.dn(F.col("v") - F.col("e")).alias("lo"), X.up(F.col("v") + F.col("e")).alias("hi")), a.by, "i")
+    d = merged(d.select(*a.by, "i", X.dn(F.col("v") - F.col("_e")).alias("lo"), X.up(F.col("v") + F.col("_e")).alias("hi")), a.by, "i")
     full = values.df.select(*a.keys).join(d.withColumn("j", F.col("i")), a.keys, "left")
     return a.like(full.select(*a.keys, F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi")))
 
