@@ -18,9 +18,11 @@ with partial aggregation, which gives the same classes.
 No task ever gathers one key's rows: counts and minima are aggregated in
 part before each shuffle, and what comes back to a document is about that document.
 
-A null text is empty.  Texts of less than LENGTH bytes lose nothing.  doc_id
-must be unique, from -2**35 to 2**35, and a text has less than 2**28 bytes;
-otherwise the query fails with an error.  Other columns are ignored.
+A null text is empty.  Texts of less than LENGTH bytes lose nothing.  Rows that
+repeat a doc_id and its text are the same document and lose the same; a row
+without doc_id comes nowhere in the order, so it loses nothing and takes nothing
+from others.  doc_id lies from -2**35 to 2**35 and a text has less than 2**28
+bytes; otherwise the query fails with an error.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ LENGTH, K = 100, 20
 START_BITS = 28
 #: Contexts of an anchor that are sorted together; bytes of contexts in one suffix array; starts looked at together.
 HOT, SORTED, SPAN = 2000, 1 << 20, 1 << 20
+#: Hot anchors that are broadcast: 8 MB of numbers.
+BROADCAST = 1 << 20
 _POS = np.uint64(22)
 
 
@@ -141,8 +145,13 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             t = pa.Table.from_batches(rows)
-            pos = t.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(_flags(t.column(1).to_pylist(), pos), pa.binary())], ["pos", "flags"])
+            anchor, pos = t.column(0).to_numpy(), t.column(2).to_numpy()
+            same = np.concatenate([[False], anchor[1:] == anchor[:-1], [False]])
+            several = np.flatnonzero(same[1:] | same[:-1])
+            flags = np.full(len(pos), b"", object)
+            if len(several):
+                flags[several] = _flags(t.column(1).take(several).to_pylist(), pos[several])
+            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(flags, pa.binary())], ["pos", "flags"])
 
     last = None
     for b in batches:
@@ -239,6 +248,7 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out:
     spark = docs.sparkSession
     shared = Shared(spark, "substring-dedup")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *(extra or ()))
+    nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
 
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, pos long")
     alone = anchors.groupBy("anchor").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).where("n = 1")
@@ -251,16 +261,18 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out:
     first = shared.keep(found.groupBy("anchor", "context").agg(F.min("pos").alias("pos")), "contexts")
     shared.release()
 
-    several = shared.keep(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    few = first.join(several.where(F.col("n") <= HOT).select("anchor"), "anchor").select("anchor", "context", "pos")
-    flags = shared.keep(few.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_contexts, "pos long, flags binary"), "flags")
-    sole = first.join(several.select("anchor"), "anchor", "left_anti").select("pos", F.lit(b"").alias("flags"))
-    hot = first.join(several.where(F.col("n") > HOT).select("anchor"), "anchor")
-    stays = hot.select("context", "pos").mapInArrow(_windows, "window binary, pos long").groupBy("window").agg(F.min("pos").alias("pos"))
-    outs = flags.unionByName(sole).unionByName(hot.select("pos", F.lit(None).cast("binary").alias("flags")))
-    outs = shared.keep(_located(outs, "flags").groupBy("doc_id").agg(F.collect_list(F.struct("start", "flags")).alias("outs")), "outs")
+    hot = shared.keep(first.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+    # One hot anchor for each HOT contexts at most; a list beyond the bound is joined by sorting.
+    hint = F.broadcast if hot.count() <= BROADCAST else lambda d: d
+    cold = first.join(hint(hot), "anchor", "left_anti").select("anchor", "context", "pos")
+    flags = shared.keep(cold.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_contexts, "pos long, flags binary"), "flags")
+    shared.release()
+    many = first.join(hint(hot), "anchor", "left_semi")
+    stays = many.select("context", "pos").mapInArrow(_windows, "window binary, pos long").groupBy("window").agg(F.min("pos").alias("pos"))
     kept = shared.keep(_located(stays).groupBy("doc_id").agg(F.collect_list("start").alias("kept")), "kept")
-    for t in (first, several, flags):
+    outs = flags.unionByName(many.select("pos", F.lit(None).cast("binary").alias("flags")))
+    outs = shared.keep(_located(outs, "flags").groupBy("doc_id").agg(F.collect_list(F.struct("start", "flags")).alias("outs")), "outs")
+    for t in (first, hot, flags):
         shared.drop(t)
     shared.release()
 
@@ -270,4 +282,8 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out:
         "doc_id", "text", F.coalesce("unique", none).alias("unique"),
         F.coalesce("outs", F.array().cast("array<struct<start:bigint,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *(extra or ()))
     out = every.mapInArrow(_finished(text_out, extra or []), ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra or ())]))
-    return out.withColumnRenamed("last", "text" if text_out else "kept_sha256")
+    zero = F.lit(0).cast("long")
+    rest = nameless.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+        (F.col("text") if text_out else F.sha2(F.col("text").cast("binary"), 256)).alias("last"), *(extra or ()))
+    return out.unionByName(rest).withColumnRenamed("last", "text" if text_out else "kept_sha256")
