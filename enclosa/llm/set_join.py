@@ -40,6 +40,8 @@ from enclosa.llm.textblocks import NOT_SPACE, blocks, by_row, lower_ascii, mix,
 N, PERCENT = 4, 85
 #: Sizes of a band differ by this factor at most; bits of the parity sketch for each element; largest group whose pairs are all compared.
 BAND, SKETCH, GROUP = 1.5, 2, 48
+#: Ids that are broadcast: 8 MB of numbers.
+BROADCAST = 1 << 20
 #: What writing a row costs against comparing two rows that meet.
 ROW_COST = 8.0
 
@@ -372,10 +374,12 @@ def _sets(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(part, _SETS)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str, n: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str, n: int, percent: int, shared: Shared) -> DataFrame:
     """The linked pairs among (a, b); only texts of pairs are turned into sets."""
     ids = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
-    some = _sets(docs.select(key, text).join(ids, key, "left_semi"), text, key, n)
+    ids = shared.keep(ids, "ids")
+    hint = F.broadcast if ids.count() <= BROADCAST else lambda d: d  # a longer list is joined by sorting
+    some = _sets(docs.select(key, text).join(hint(ids), key, "left_semi"), text, key, n)
     left = some.select(F.col("doc_id").alias("a"), F.col("own").alias("x"))
     right = some.select(F.col("doc_id").alias("b"), F.col("own").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
@@ -398,11 +402,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     signed = shared.keep(summaries(docs, plan, text, key, n), "summaries")
     every = shared.keep(signed.drop("sigs"), "sets")
     same = ["n_shingles", "h1", "h2"]
-    classes = shared.keep(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
-    reps = signed.join(classes.select("id"), signed["doc_id"] == F.col("id"), "left_semi")
-    rows = reps.select("doc_id", "n_shingles", "sigs").mapInArrow(_spread, "sig long, id long, size long")
+    # Copies are collapsed and their signatures moved in one grouping; the signatures of equal sets are equal.
+    reps = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")).where("id IS NOT NULL")
+    rows = reps.select("id", "n_shingles", "sigs").mapInArrow(_spread, "sig long, id long, size long")
     met = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "id").mapInArrow(_meet(percent), _MEET)
     met = shared.keep(met, "met")
+    classes = shared.keep(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
     shared.drop(signed)
     shared.release()
 
@@ -414,7 +419,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
 
     # Each set against its least candidate first; most pairs are then within a component.
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = shared.keep(verify(first, docs, text, key, n, percent), "links")
+    links = shared.keep(verify(first, docs, text, key, n, percent, shared), "links")
     shared.release()
     label = shared.keep(components(links, shared), "components")
     links, label = _rest(pairs.join(first, ["a", "b"], "left_anti"), links, label, docs, shared, text, key, n, percent)
@@ -441,7 +446,7 @@ def _rest(pairs: DataFrame, links: DataFrame, label: DataFrame, docs: DataFrame,
     apart = shared.keep(apart, "apart")
     if apart.isEmpty():
         return links, label
-    found = shared.keep(verify(apart, docs, text, key, n, percent), "found")
+    found = shared.keep(verify(apart, docs, text, key, n, percent, shared), "found")
     if found.isEmpty():
         return links, label
     links = links.unionByName(found)
