@@ -48,12 +48,31 @@ BROADCAST = 1 << 20
 _POS = np.uint64(22)
 
 
+def _ranges(off: np.ndarray, span: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of up to ``span`` bytes; a longer text is cut at multiples of ``span`` from its own start.
+
+    So a context never depends on which texts happen to lie in one block.
+    """
+    i, n = 0, len(off) - 1
+    while i < n:
+        if off[i + 1] - off[i] > span:
+            for lo in range(int(off[i]), int(off[i + 1]), span):
+                yield lo, min(lo + span, int(off[i + 1]))
+            i += 1
+        else:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + span, "right")) - 1)
+            yield int(off[i]), int(off[j])
+            i = j
+
+
 def contexts(data: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the starts with ``length`` bytes of one text: (row, first start, last start, anchor hash) of each context."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     w = length - k + 1
-    for lo in range(0, max(0, len(data) - length + 1), SPAN):
-        hi = min(lo + SPAN, len(data) - length + 1)  # starts lo to hi - 1
+    for lo, hi in _ranges(off, SPAN):
+        hi = min(hi, len(data) - length + 1)  # starts lo to hi - 1
+        if hi <= lo:
+            continue
         x = data[lo : hi + length - 1]
         p, ip = powers(len(x) + 1)
         h = np.zeros(len(x) + 1, np.uint64)

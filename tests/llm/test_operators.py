@@ -276,6 +276,27 @@ def test_substring_dedup(docs, texts, empty, hot, monkeypatch):
         assert substring_dedup.removals(empty).count() == 0
 
 
+def test_contexts_do_not_depend_on_neighbours(texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SPAN", 700)
+    some = [(t or "").encode() for t in texts]
+
+    def of(order):
+        off = np.concatenate([[0], np.cumsum([len(some[i]) for i in order])])
+        row, first, last, anchor = substring_dedup.contexts(np.frombuffer(b"".join(some[i] for i in order), np.uint8), off)
+        return sorted((order[r], f - off[r], k - off[r], int(h)) for r, f, k, h in zip(row, first, last, anchor, strict=True))
+
+    order = list(range(len(some)))
+    assert of(order) == of(order[::-1]) == of(sorted(order, key=lambda i: (i * 7) % len(some)))
+
+
+@pytest.mark.parametrize("span", [300, 5000])
+def test_substring_dedup_spans(spark, texts, span, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SPAN", span)
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r[0]: tuple(r[1:]) for r in substring_dedup.removals(d).collect()} == removed_brute(rows)
+
+
 def test_substring_dedup_text(spark):
     r = random.Random(5)
     line = "".join(r.choice("éàüñabc") for _ in range(120))
