@@ -194,7 +194,7 @@ def differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded(a, n) ^ folded(b, n)).sum())
 
 
-_SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, sigs binary, sketch binary"
+_SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, sigs binary, sketch binary, short binary"
 _SETS = "doc_id long, own binary"
 
 
@@ -208,10 +208,11 @@ def summaries(docs: DataFrame, plan: Plan, text: str, key: str, n: int) -> DataF
                 o = np.argsort(of, kind="stable")
                 cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))]).astype(np.int64)
                 sketch = parity(h, r, size)
+                short = [folded(np.frombuffer(x, np.uint64), len(x) // 16).tobytes() for x in sketch]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sums(mix(h, 1), r, hi - lo).view(np.int64)), pa.array(sums(mix(h, 2), r, hi - lo).view(np.int64)),
-                     _binary(sig[o], cut), pa.array(sketch, pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "sigs", "sketch"],
+                     _binary(sig[o], cut), pa.array(sketch, pa.binary()), pa.array(short, pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "sigs", "sketch", "short"],
                 )
 
     return docs.select(key, text).mapInArrow(part, _SUMMARY)
@@ -411,9 +412,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     shared.drop(signed)
     shared.release()
 
-    known = every.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.col("n_shingles").alias("size"), "sketch")
+    known = every.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.col("n_shingles").alias("size"), "sketch", "short")
+    # A pair's sizes are close, so half a sketch tells them apart; groups of many sets take the whole.
+    brief, known = known.drop("sketch"), known.drop("short")
     pairs = met.where("sig IS NULL").select("a", "b").distinct()
-    pairs = pairs.join(known.toDF("a", "sa", "ka"), "a").join(known.toDF("b", "sb", "kb"), "b")
+    pairs = pairs.join(brief.toDF("a", "sa", "ka"), "a").join(brief.toDF("b", "sb", "kb"), "b")
     pairs = shared.keep(pairs.select("a", "b", "sa", "sb", "ka", "kb").mapInArrow(_sketched(percent), "a long, b long"), "pairs")
     shared.release()
 
