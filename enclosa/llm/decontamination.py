@@ -1,16 +1,15 @@
-"""Benchmark decontamination by SimHash windows.
+"""Benchmark decontamination by shared shingles.
 
 Every benchmark item of n words is compared with the windows of n words of
-every document.  An item and a window have 64-bit SimHash fingerprints of their
-weighted shingles; BLOCKS tables over eight bits each, searched within
-BLOCK_RADIUS bits, return every item whose fingerprint is within RADIUS of a
-window's (pigeonhole: BLOCKS * (BLOCK_RADIUS + 1) > RADIUS).  Candidates are
-verified by the exact weighted-shingle similarity, the weight of the item's
-shingles that the window has over the weight of all of them.  A shingle weighs
-more the fewer items have it.
+every document.  The similarity is the weight of the item's distinct shingles
+that the window has over the weight of all of them.  A shingle weighs more the
+fewer items have it.
 
-Windows without a shingle of an item of their length have similarity 0 with
-all of these items and are not fingerprinted.
+Candidates are exact: a window as alike as SIMILARITY has one of the item's
+rarest shingles, since all the others together weigh less.  A text and item that
+share one get the best of all windows, from the spans of windows that each
+occurrence of a shingle counts for.  ``distance`` is the bits between the 64-bit
+SimHash fingerprints of item and window; it decides nothing.
 
 Items are sent to the executors in blocks of at most ITEM_BYTES of text; a larger
 benchmark takes several passes over the documents, whose results are united.
@@ -23,7 +22,6 @@ items and rows each give their own matches.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +31,7 @@ from pyspark.sql import functions as F
 from enclosa.llm.textblocks import blocks, lower_ascii, mix, shingle_hashes, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Eight-bit tables searched within BLOCK_RADIUS bits find all fingerprints within RADIUS; matching does not depend on them.
 BLOCKS, BLOCK_RADIUS, RADIUS = 8, 2, 23
 ITEM_BYTES = 16 << 20
 MATCHES = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
@@ -55,15 +54,16 @@ def planes(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(mix(h, 31).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
 
 
-def fingerprint(total: np.ndarray) -> np.ndarray:
-    """Rows of 64 sums to rows of 8 bytes."""
-    return np.packbits(total > 0, axis=1)
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """The 8 bytes of the SimHash of shingles, each counting alike."""
+    return np.packbits(planes(h).sum(0) > 0)
 
 
 class Items:
-    """Shingles, weights and fingerprints of a block of items, and the tables over the fingerprints' bytes."""
+    """Shingles, weights and fingerprints of a block of items, and which items have a shingle among their rarest."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], similarity: float = SIMILARITY):
+        self.similarity = similarity
         self.groups: dict[tuple[int, int], dict] = {}
         weight: dict[int, int] = {}
         found = []
@@ -86,35 +86,59 @@ class Items:
             g["ids"].append(i)
             g["sets"].append(own)
             g["weights"].append(wt)
-            g["prints"].append(fingerprint((planes(own) * wt[:, None]).sum(0, keepdims=True))[0])
+            g["prints"].append(fingerprint(own))
         for g in self.groups.values():
-            g["prints"] = np.stack(g["prints"])
-            every = np.concatenate(g["sets"])
-            g["all"], first = np.unique(every, return_index=True)
-            g["all_weights"] = np.concatenate(g["weights"])[first]
-            g["tables"] = [[np.flatnonzero(_NEAR[v][g["prints"][:, b]]) for v in range(256)] for b in range(BLOCKS)]
+            g["all"] = np.unique(np.concatenate(g["sets"]))
+            # Each item's heaviest shingles, as many as it takes for the others to weigh less than the similarity.
+            rare = []
+            for own, wt in zip(g["sets"], g["weights"], strict=True):
+                o = np.argsort(-wt, kind="stable")
+                rest = wt.sum() - np.cumsum(wt[o])
+                rare.append(own[o[: 1 + int((rest >= similarity * wt.sum() - 1e-9).sum())]])
+            place = np.searchsorted(g["all"], np.concatenate(rare))
+            o = np.argsort(place, kind="stable")
+            g["rare"], g["rare_of"] = place[o], np.repeat(np.arange(len(rare)), [len(x) for x in rare])[o]
         parts = [g["all"] for g in self.groups.values()]
         self.any = {k: np.unique(np.concatenate([g["all"] for (_, kk), g in self.groups.items() if kk == k])) for k in {kk for _, kk in self.groups}} if parts else {}
 
 
-def _runs(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """The union of intervals [begin, end), sorted by begin."""
-    out: list[list[int]] = []
-    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def matches(items: Items, data: np.ndarray, off: np.ndarray, similarity: float = SIMILARITY) -> list[tuple]:
+def _candidates(g: dict, where: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Pairs (row, item), each once, of rows that have one of the item's rarest shingles; ``where`` are places in ``all``."""
+    u = np.unique(np.stack([row, where]), axis=1)
+    first, last = np.searchsorted(g["rare"], u[1]), np.searchsorted(g["rare"], u[1], "right")
+    k = last - first
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+    return np.unique(np.stack([np.repeat(u[0], k), g["rare_of"][at]]), axis=1)
+
+
+def _best_window(place: np.ndarray, which: np.ndarray, weights: np.ndarray, span: int, lo: int, hi: int) -> int | None:
+    """Where the window starts, from lo to hi, whose distinct shingles weigh most; the first of equal ones.
+
+    An occurrence counts for the windows that hold it and not the one before it.
+    """
+    o = np.lexsort((place, which))
+    place, which = place[o], which[o]
+    again = np.concatenate([[False], which[1:] == which[:-1]])
+    begin = np.maximum(place - span + 1, lo)
+    begin[again] = np.maximum(begin[again], place[:-1][again[1:]] + 1)
+    end = np.minimum(place, hi) + 1
+    ok = begin < end
+    begin, end, w = begin[ok], end[ok], weights[which[ok]]
+    if not len(begin):
+        return None
+    ob, oe = np.argsort(begin, kind="stable"), np.argsort(end, kind="stable")
+    starts = np.unique(begin)
+    opened = np.cumsum(w[ob])[np.searchsorted(begin[ob], starts, "right") - 1]
+    closed = np.concatenate([[0], np.cumsum(w[oe])])[np.searchsorted(end[oe], starts, "right")]
+    return int(starts[np.argmax(np.round(opened - closed, 9))])
+
+
+def matches(items: Items, data: np.ndarray, off: np.ndarray) -> list[tuple]:
     """(row, item, first word, words, distance, similarity): each item's best window of each text, the first of equal ones."""
     low = lower_ascii(data)
     s, e, r = word_spans(low, off, _WORD)
     w = word_hashes(low, s, e)
-    first_word = np.searchsorted(r, np.arange(len(off) - 1))
-    words = np.append(first_word, len(w))
+    words = np.searchsorted(r, np.arange(len(off)))
     best: dict[tuple[int, int], tuple] = {}
     for k, every in items.any.items():
         h, at = shingle_hashes(w, r, k)
@@ -125,36 +149,28 @@ def matches(items: Items, data: np.ndarray, off: np.ndarray, similarity: float =
             if kk != k:
                 continue
             own = hit[np.isin(h[hit], g["all"])]
+            row = r[at[own]]
+            long = words[row + 1] - words[row] >= n
+            own, row = own[long], row[long]
             if not len(own):
                 continue
-            row = r[at[own]]
             span = n - k + 1  # shingles of a window
-            lo = np.maximum(at[own] - span + 1, words[row])
-            hi = np.minimum(at[own], words[row + 1] - n)
-            ok = lo <= hi
-            for a, b in _runs(lo[ok], hi[ok] + 1):  # windows that start at words a to b - 1, of one text each
-                for c in range(a, b, 4096):
-                    d = min(b, c + 4096)
-                    f = int(np.searchsorted(at, c))
-                    x = h[f : f + d - c + span - 1]
-                    p = np.searchsorted(g["all"], x)
-                    p = np.minimum(p, len(g["all"]) - 1)
-                    wt = np.where(g["all"][p] == x, g["all_weights"][p], 1.0)
-                    total = np.concatenate([np.zeros((1, 64)), np.cumsum(planes(x) * wt[:, None], axis=0, dtype=np.float64)])
-                    prints = fingerprint(total[span:] - total[:-span])
-                    for v in range(d - c):
-                        cand = reduce(np.union1d, [g["tables"][t][prints[v, t]] for t in range(BLOCKS)])
-                        if not len(cand):
-                            continue
-                        dist = np.unpackbits(g["prints"][cand] ^ prints[v], axis=1).sum(1)
-                        for q, far in zip(cand[dist <= RADIUS].tolist(), dist[dist <= RADIUS].tolist(), strict=True):
-                            have = np.isin(g["sets"][q], x[v : v + span])
-                            sim = float(g["weights"][q][have].sum() / g["weights"][q].sum())
-                            if sim >= similarity - 1e-12:
-                                text = int(r[c + v])
-                                old = best.get((text, g["ids"][q]))
-                                if old is None or sim > old[-1]:
-                                    best[text, g["ids"][q]] = (text, g["ids"][q], c + v - int(first_word[text]), n, far, sim)
+            for text, q in _candidates(g, np.searchsorted(g["all"], h[own]), row).T.tolist():
+                some = own[np.searchsorted(row, text) : np.searchsorted(row, text, "right")]
+                which = np.minimum(np.searchsorted(g["sets"][q], h[some]), len(g["sets"][q]) - 1)
+                has = g["sets"][q][which] == h[some]
+                c = _best_window(at[some][has], which[has], g["weights"][q], span, int(words[text]), int(words[text + 1]) - n)
+                if c is None:
+                    continue
+                f = int(np.searchsorted(at, c))
+                x = h[f : f + span]
+                have = np.isin(g["sets"][q], x)
+                sim = float(g["weights"][q][have].sum() / g["weights"][q].sum())
+                if sim >= items.similarity - 1e-12:
+                    old = best.get((text, g["ids"][q]))
+                    if old is None or sim > old[-1]:
+                        far = int(np.unpackbits(g["prints"][q] ^ fingerprint(x)).sum())
+                        best[text, g["ids"][q]] = (text, g["ids"][q], c - int(words[text]), n, far, sim)
     return sorted(best.values())
 
 
@@ -175,12 +191,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
         cast = spark.sparkContext.broadcast(([x["i"] for x in some], [x["t"] for x in some]))
 
         def part(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            items = Items(*cast.value)
+            items = Items(*cast.value, similarity)
             types = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             for b in batches:
                 ids = b.column(0).to_pylist()
                 for lo, _, data, off in blocks(b.column(1)):
-                    found = [(ids[lo + m[0]], *m[1:]) for m in matches(items, data, off, similarity)]
+                    found = [(ids[lo + m[0]], *m[1:]) for m in matches(items, data, off)]
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 

@@ -320,6 +320,39 @@ def test_decontamination(spark, empty):
     assert decontamination.leaks(empty, b).count() == 0
 
 
+def leaks_of(docs, items):
+    """Items by document, and their similarities, by comparing every window with every item."""
+    word = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    own = {i: (len(word(t)), min(5, len(word(t)))) for i, t in items}
+    sets = {i: set(grams(word(t), own[i][1])) for i, t in items}
+    count = collections.Counter(x for s in sets.values() for x in s)
+    out = {}
+    for d, t in docs:
+        w = word(t)
+        for i, s in sets.items():
+            n, k = own[i]
+            weight = {x: 1 / (1 + np.log(count[x])) for x in s}
+            sims = [(sum(weight[x] for x in s & set(grams(w[c : c + n], k))) / sum(weight.values()), -c) for c in range(len(w) - n + 1)]
+            if sims and max(sims)[0] >= 0.8 - 1e-12:
+                out[d, i] = (round(max(sims)[0], 9), -max(sims)[1])
+    return out
+
+
+def found_leaks(spark, docs, items):
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start_word"]) for r in got}
+
+
+def test_decontamination_of_items_that_share_a_passage(spark):
+    passage = prose(700, 36)
+    items = [(k, passage + " " + prose(710 + k % 3, 8)) for k in range(60)]  # three questions on one passage, each twenty times
+    docs = [(10 * k + j, prose(800 + j, 12) + " " + edited(items[k][1], 900 + 31 * k + j, 1) + " " + prose(850 + j, 12)) for k in range(3) for j in range(8)]
+    want = leaks_of(docs, items)
+    assert len(want) > 300
+    assert found_leaks(spark, docs, items) == want
+
+
 def test_near_tables_hold_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, 8)
