@@ -9,7 +9,8 @@ Candidates are exact: a window as alike as SIMILARITY has one of the item's
 rarest shingles, since all the others together weigh less.  A text and item that
 share one get the best of all windows, from the spans of windows that each
 occurrence of a shingle counts for.  ``distance`` is the bits between the 64-bit
-SimHash fingerprints of item and window; it decides nothing.
+SimHash fingerprints of item and window, in which every occurrence of a shingle
+counts, so that exact copies lie at 0; it decides nothing.
 
 Items are sent to the executors in blocks of at most ITEM_BYTES of text; a larger
 benchmark takes several passes over the documents, whose results are united.
@@ -55,7 +56,7 @@ def planes(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(h: np.ndarray) -> np.ndarray:
-    """The 8 bytes of the SimHash of shingles, each counting alike."""
+    """The 8 bytes of the SimHash of shingles, each occurrence counting alike."""
     return np.packbits(planes(h).sum(0) > 0)
 
 
@@ -79,14 +80,14 @@ class Items:
             own = np.unique(h)
             for x in own.tolist():
                 weight[x] = weight.get(x, 0) + 1
-            found.append((i, len(w), k, own))
-        for i, n, k, own in found:
+            found.append((i, len(w), k, own, fingerprint(h)))
+        for i, n, k, own, seen in found:
             g = self.groups.setdefault((n, k), {"ids": [], "sets": [], "weights": [], "prints": []})
             wt = np.array([1 / (1 + np.log(weight[x])) for x in own.tolist()])
             g["ids"].append(i)
             g["sets"].append(own)
             g["weights"].append(wt)
-            g["prints"].append(fingerprint(own))
+            g["prints"].append(seen)
         for g in self.groups.values():
             g["all"] = np.unique(np.concatenate(g["sets"]))
             # Each item's heaviest shingles, as many as it takes for the others to weigh less than the similarity.

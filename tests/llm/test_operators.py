@@ -353,6 +353,13 @@ def test_decontamination_of_items_that_share_a_passage(spark):
     assert found_leaks(spark, docs, items) == want
 
 
+@pytest.mark.parametrize(("phrases", "times"), [(1, 30), (5, 10), (5, 6)])
+def test_decontamination_of_exact_copies_with_repeated_phrases(spark, phrases, times):
+    items = [(k, " ".join([prose(1000 + k, 36)] + [prose(1100 + 10 * k + p, 5) for p in range(phrases) for _ in range(times)])) for k in range(20)]
+    got = decontamination.leaks(spark.createDataFrame(items, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["similarity"]) for r in got) == [(k, k, 0, 1.0) for k in range(20)]
+
+
 def test_near_tables_hold_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, 8)
