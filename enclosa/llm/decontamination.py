@@ -14,6 +14,7 @@ counts, so that exact copies lie at 0; it decides nothing.
 
 Items are sent to the executors in blocks of at most ITEM_BYTES of text; a larger
 benchmark takes several passes over the documents, whose results are united.
+Weights are of the whole benchmark, so blocks do not change what matches.
 
 Items with fewer than SHINGLE words have their whole word sequence as one
 shingle; items without words match nothing.  Null texts are empty.  Repeated
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from enclosa.llm.common import Shared
 from enclosa.llm.textblocks import blocks, lower_ascii, mix, shingle_hashes, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -60,30 +62,31 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(planes(h).sum(0) > 0)
 
 
+def item_shingles(text: str | None) -> tuple[int, int, np.ndarray] | None:
+    """Words, words of a shingle and shingle hashes of an item; None without words."""
+    low = lower_ascii(np.frombuffer((text or "").encode(), np.uint8))
+    s, e, r = word_spans(low, np.array([0, len(low)]), _WORD)
+    if not len(s):
+        return None
+    k = min(SHINGLE, len(s))
+    return len(s), k, shingle_hashes(word_hashes(low, s, e), r, k)[0]
+
+
 class Items:
     """Shingles, weights and fingerprints of a block of items, and which items have a shingle among their rarest."""
 
-    def __init__(self, ids: list[int], texts: list[str], similarity: float = SIMILARITY):
+    def __init__(self, ids: list[int], texts: list[str], similarity: float = SIMILARITY, counts: tuple[np.ndarray, np.ndarray] | None = None):
+        """``counts``: the shingles that several items of the whole benchmark have, and how many; without it, these items are all."""
         self.similarity = similarity
         self.groups: dict[tuple[int, int], dict] = {}
-        weight: dict[int, int] = {}
-        found = []
-        for i, t in zip(ids, texts, strict=True):
-            raw = np.frombuffer((t or "").encode(), np.uint8)
-            low = lower_ascii(raw)
-            s, e, r = word_spans(low, np.array([0, len(raw)]), _WORD)
-            if not len(s):
-                continue
-            w = word_hashes(low, s, e)
-            k = min(SHINGLE, len(w))
-            h = shingle_hashes(w, r, k)[0]
-            own = np.unique(h)
-            for x in own.tolist():
-                weight[x] = weight.get(x, 0) + 1
-            found.append((i, len(w), k, own, fingerprint(h)))
-        for i, n, k, own, seen in found:
+        found = [(i, *x) for i, t in zip(ids, texts, strict=True) if (x := item_shingles(t))]
+        known, number = np.unique(np.concatenate([np.unique(h) for *_, h in found] or [np.zeros(0, np.uint64)]), return_counts=True)
+        if counts is not None:
+            number[np.searchsorted(known, counts[0])] = counts[1]
+        for i, n, k, h in found:
             g = self.groups.setdefault((n, k), {"ids": [], "sets": [], "weights": [], "prints": []})
-            wt = np.array([1 / (1 + np.log(weight[x])) for x in own.tolist()])
+            own, seen = np.unique(h), fingerprint(h)
+            wt = 1 / (1 + np.log(number[np.searchsorted(known, own)]))
             g["ids"].append(i)
             g["sets"].append(own)
             g["weights"].append(wt)
@@ -181,18 +184,42 @@ def item_blocks(benchmark: DataFrame, text: str, key: str, size: int = ITEM_BYTE
     return list(range(max(1, -(-int(total) // size))))
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h) for each distinct shingle of each (block, text)."""
+    for b in batches:
+        for block, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = item_shingles(t)
+            if found:
+                h = np.unique(found[2]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(h)], ["block", "h"])
+
+
+def shingle_counts(items: DataFrame) -> DataFrame:
+    """(block, h, n): shingles that n > 1 items of all blocks have, once for each block that has one of these."""
+    own = items.select(F.col("block").cast("long"), "t").mapInArrow(_item_shingles, "block long, h long").groupBy("block", "h").agg(F.count("*").alias("n"))
+    own = Shared(items.sparkSession, "decontamination").keep(own, "shingles")
+    return own.select("block", "h").join(own.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "h").select("block", "h", "n")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document and item that it contains: where, and how alike."""
     spark = docs.sparkSession
     number = item_blocks(benchmark, text, item)
+    every = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(text, F.lit("")).alias("t"))
+    every = every.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(len(number))))
+    # The items of a single block are all items; of several, each takes the counts of its shingles over all.
+    shared = shingle_counts(every) if len(number) > 1 else None
     out = None
     for k in number:
-        some = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(text, F.lit("")).alias("t"))
-        some = some.where(F.pmod(F.xxhash64("i", "t"), F.lit(len(number))) == k).orderBy("i", "t").collect()
-        cast = spark.sparkContext.broadcast(([x["i"] for x in some], [x["t"] for x in some]))
+        some = every.where(F.col("block") == k).orderBy("i", "t").select("i", "t").collect()
+        counts = None
+        if shared is not None:
+            own = shared.where(F.col("block") == k).select("h", "n").toArrow()
+            counts = own.column("h").to_numpy().view(np.uint64), own.column("n").to_numpy()
+        cast = spark.sparkContext.broadcast(([x["i"] for x in some], [x["t"] for x in some], similarity, counts))
 
         def part(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            items = Items(*cast.value, similarity)
+            items = Items(*cast.value)
             types = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             for b in batches:
                 ids = b.column(0).to_pylist()

@@ -360,6 +360,18 @@ def test_decontamination_of_exact_copies_with_repeated_phrases(spark, phrases, t
     assert sorted((r["doc_id"], r["item_id"], r["distance"], r["similarity"]) for r in got) == [(k, k, 0, 1.0) for k in range(20)]
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    passage = prose(700, 12)
+    items = [(k, passage + " " + prose(2000 + k, 9)) for k in range(40)] + [(50, "one two three"), (51, ""), (52, None)]
+    docs = [(k, prose(2100 + k, 12) + " " + items[k][1].replace(" ", " new ", k % 3) + " " + edited(items[k + 1][1], k, 1)) for k in range(30)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontamination.leaks(d, b).collect())
+    assert {(r["doc_id"], r["item_id"]) for r in whole} == set(leaks_of(docs, items[:41]))
+    number = decontamination.item_blocks
+    monkeypatch.setattr(decontamination, "item_blocks", lambda *a: number(*a, 1500))
+    assert sorted(decontamination.leaks(d, b).collect()) == whole
+
+
 def test_near_tables_hold_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, 8)
