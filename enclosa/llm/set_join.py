@@ -14,7 +14,8 @@ candidates; a parity sketch bounds their difference from below, and what is
 left is verified exactly on the sets.  Pairs of one component need no further
 verification, since the result is the components.  A segment shared by more
 than GROUP sets gives each set's pair with the least one only; pairs between the
-components that remain in it are then found block by block from the sketches.
+components that remain in it are then found from the sketches, for each pair of
+bounded blocks in a task of its own.
 
 Words are split at space and TAB to CR after A-Z are lower-cased.  With fewer
 than n words the whole sequence is the one shingle; a null text or one without
@@ -40,6 +41,8 @@ from enclosa.llm.textblocks import NOT_SPACE, blocks, by_row, lower_ascii, mix,
 N, PERCENT = 4, 85
 #: Sizes of a band differ by this factor at most; bits of the parity sketch for each element; largest group whose pairs are all compared.
 BAND, SKETCH, GROUP = 1.5, 2, 48
+#: Sets in a block of a larger group, and bytes of their sketches.
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Ids that are broadcast: 8 MB of numbers.
 BROADCAST = 1 << 20
 #: What writing a row costs against comparing two rows that meet.
@@ -320,46 +323,66 @@ def _verified(percent: int):
     return part
 
 
+def _block_pairs(hot: DataFrame) -> DataFrame:
+    """``hot`` (sig, id, size, component, sketch, n, most) with pair and side in place of n and most.
+
+    A sig's n sets, of ``most`` elements at most, are dealt by hash into blocks of
+    about BLOCK sets or BLOCK_BYTES of sketches; a set has a row for each block
+    that its own is compared with, as side 0 (also with itself) or 1.
+    """
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.lit(64), F.col("most") * SKETCH / 4))))
+    hot = hot.withColumn("k", F.ceil(F.col("n") / rows).cast("long")).withColumn("own", F.pmod(F.xxhash64("id", "sig"), F.col("k")))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    pair = (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("pair")
+    side = F.when(F.col("own") > F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(-1).alias("side")
+    return hot.select("sig", "id", "size", "component", "sketch", pair, side)
+
+
 def _left_over(percent: int):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of (sig, id, size, component, sketch) sorted by sig, pairs of one sig and of different components that may link.
+        """Of (sig, id, size, component, sketch, pair, side) sorted by sig, pair and side, pairs of one sig and of different components that may link.
 
-        A run of one sig is compared in blocks of rows, so memory stays bounded.
+        One block is held, and what it is compared with is read batch by batch;
+        a block that is compared with itself (side -1) is held as it is read.
         """
-        sig, parts = None, []
-
-        def flush():
-            if len(parts) == 0:
-                return
-            t = pa.Table.from_batches(parts)
-            i, s, c = (t.column(k).to_numpy() for k in (1, 2, 3))
-            own = [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()]
-            k = np.stack([folded(x, min(map(len, own))) for x in own])
-            for lo in range(0, len(i), 256):
-                sl = slice(lo, lo + 256)
-                for at in range(lo, len(i), 4096):
-                    r = slice(at, at + 4096)
-                    n = s[sl, None] + s[None, r]
-                    most = n - 2 * -(-percent * n // (100 + percent))
-                    ok = (c[sl, None] != c[None, r]) & (100 * np.minimum(s[sl, None], s[None, r]) >= percent * np.maximum(s[sl, None], s[None, r]))
-                    p, q = np.nonzero(ok)
-                    if len(p):
-                        d = np.bitwise_count(k[sl][p] ^ k[r][q]).sum(1)
-                        good = d <= most[p, q]
-                        if good.any():
-                            x, y = i[sl][p[good]], i[r][q[good]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        now, held = None, []
+
+        def compare(x: tuple, y: tuple) -> Iterator[pa.RecordBatch]:
+            (i, s, c, k), (j, t, d, m) = x, y
+            n = min(k.shape[1], m.shape[1])
+            k, m = folded(k, n), folded(m, n)
+            step = max(1, min(256, (16 << 20) // max(1, 8 * n * len(j))))
+            for lo in range(0, len(i), step):
+                sl = slice(lo, lo + step)
+                both = s[sl, None] + t[None, :]
+                ok = (c[sl, None] != d[None, :]) & (100 * np.minimum(s[sl, None], t[None, :]) >= percent * np.maximum(s[sl, None], t[None, :]))
+                p, q = np.nonzero(ok)
+                if len(p):
+                    most = both[p, q] - 2 * -(-percent * both[p, q] // (100 + percent))
+                    good = np.bitwise_count(k[sl][p] ^ m[q]).sum(1) <= most
+                    if good.any():
+                        a, b = i[sl][p[good]], j[q[good]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for b in batches:
-            v = b.column(0).to_numpy()
-            cut = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if hi > lo:
-                    if v[lo] != sig:
-                        yield from flush()
-                        sig, parts = v[lo], []
-                    parts.append(b.slice(lo, hi - lo))
-        yield from flush()
+            v = np.stack([b.column(c).to_numpy().astype(np.int64) for c in (0, 5, 6)])
+            cut = np.concatenate([[0], np.flatnonzero((v[:, 1:] != v[:, :-1]).any(0)) + 1, [v.shape[1]]])
+            for first, last in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                for lo in range(first, last, 1024):
+                    some = b.slice(lo, min(1024, last - lo))
+                    key, side = (int(v[0, lo]), int(v[1, lo])), int(v[2, lo])
+                    if key != now:
+                        now, held = key, []
+                    own = [np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(4)]
+                    n = min(map(len, own))
+                    piece = (*(some.column(c).to_numpy() for c in (1, 2, 3)), np.stack([folded(x, n) for x in own]))
+                    if side != 0:
+                        for h in held:
+                            yield from compare(h, piece)
+                    if side == -1:
+                        yield from compare(piece, piece)
+                    if side != 1:
+                        held.append(piece)
 
     return part
 
@@ -430,9 +453,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     # Segments of many sets: what is still in several components there.
     hot = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("id")).distinct().join(label, "id", "left")
     hot = hot.select("sig", "id", F.coalesce("component", "id").alias("component"))
-    mixed = hot.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    hot = hot.join(mixed, "sig").join(known.toDF("id", "size", "sketch"), "id").select("sig", "id", "size", "component", "sketch")
-    more = hot.repartition(partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(_left_over(percent), "a long, b long").distinct()
+    mixed = hot.join(known.select(F.col("doc_id").alias("id"), "size"), "id").groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.max("size").alias("most")).where("lo < hi").select("sig", "n", "most")
+    hot = hot.join(mixed, "sig").join(known.toDF("id", "size", "sketch"), "id").select("sig", "id", "size", "component", "sketch", "n", "most")
+    blocks_of = _block_pairs(hot).repartition(partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair", "side")
+    more = blocks_of.mapInArrow(_left_over(percent), "a long, b long").distinct()
     links, label = _rest(more, links, label, docs, shared, text, key, n, percent)
     shared.release()
 

@@ -209,6 +209,25 @@ def test_set_join(docs, texts, empty, group, monkeypatch):
         assert set_join.near_duplicates(empty).count() == 0
 
 
+def test_large_groups_are_compared_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 64, dtype=np.uint8)
+    rows = []
+    for i in range(600):
+        x = base.copy() if i % 2 else rng.integers(0, 256, 64, dtype=np.uint8)
+        x[i % 64] ^= 1
+        rows.append((5, i, 200, i // 3, bytes(x), 600, 200))
+    hot = spark.createDataFrame(rows, "sig long, id long, size long, component long, sketch binary, n long, most long")
+    pairs = set_join._block_pairs(hot)
+    assert pairs.groupBy("sig", "pair").count().agg(F.max("count")).first()[0] < 4 * 64
+    got = pairs.repartition(4, "sig", "pair").sortWithinPartitions("sig", "pair", "side").mapInArrow(set_join._left_over(85), "a long, b long").distinct()
+    most = 400 - 2 * set_join.overlap(200, 200, 85)
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if i // 3 != j // 3 and set_join.differ(rows[i][4], rows[j][4]) <= most}
+    assert len(want) > 10000
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_set_join_other_threshold(spark):
     base = [prose(k, 90) for k in range(4)]
     some = [*base, *(edited(b, 7 * i + k, k) for k in (1, 2, 3, 4) for i, b in enumerate(base)), *(prose(50, 30) + " " + prose(60 + k, 3) for k in range(6))]
