@@ -1,7 +1,7 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.  run() applies them to ``documents``.
+last return the columns of ``documents``.  Decisions are of rows: see with_rows().  run() applies them to ``documents``.
 """
 
 from __future__ import annotations
@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from enclosa.llm.common import table
+from enclosa.llm.common import Shared, table
 from enclosa.llm.decontamination import leaks
 from enclosa.llm.language_id import UND, fit, language_id
 from enclosa.llm.packing import pack_documents
 from enclosa.llm.queries import vocabulary
-from enclosa.llm.set_join import near_duplicates
+from enclosa.llm.set_join import BROADCAST, near_duplicates
 from enclosa.llm.substring_dedup import removals
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,28 +28,65 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
+def with_rows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ``row``, one number for each different (doc_id, text), and the (row, own) whose row is not their doc_id ``own``.
+
+    The row is the doc_id; rows without one, and all but one of the different
+    texts of a repeated one, are numbered after the greatest doc_id.  These are
+    told apart by a 64-bit hash.
+    """
+    shared = Shared(spark, "rows")
+    h = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    ids = docs.select("doc_id", h.alias("h"))
+    seen = ids.groupBy("doc_id").agg(F.min("h").alias("first"), F.max("h").alias("last"))
+    seen = shared.keep(seen.where("doc_id IS NULL OR first < last"), "repeated")
+    if seen.isEmpty():
+        return docs.withColumn("row", F.col("doc_id")), None
+    hint = F.broadcast if seen.count() <= BROADCAST else lambda d: d
+    odd = ids.join(hint(seen), ids["doc_id"].eqNullSafe(seen["doc_id"])).where(ids["doc_id"].isNull() | (F.col("h") > F.col("first"))).select(ids["doc_id"], "h").distinct().orderBy("h", "doc_id")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    start = 0 if top is None else top + 1
+    odd = shared.keep(spark.createDataFrame(odd.rdd.zipWithIndex().map(lambda x: (x[0][1], start + x[1], x[0][0])), "h long, row long, own long"), "numbers")
+    hint = F.broadcast if odd.count() <= BROADCAST else lambda d: d
+    d = docs.withColumn("h", h).join(hint(odd.withColumnRenamed("h", "oh")), (F.col("h") == F.col("oh")) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
+    return d.withColumn("row", F.coalesce("row", "doc_id")).drop("h", "oh", "own"), odd.select("row", "own")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of near duplicates stays."""
-    stays = near_duplicates(docs, n=WORDS, percent=PERCENT).where("doc_id = component_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*COLUMNS)
+    """The document with the least doc_id of each component of near duplicates stays, once.
+
+    Rows without doc_id and further texts of a repeated one come after all others.
+    """
+    rows, _ = with_rows(spark, docs)
+    stays = near_duplicates(rows, key="row", n=WORDS, percent=PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("row")).distinct()
+    left = rows.join(stays, "row", "left_semi")
+    return left.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes and more that stand earlier in the corpus are cut out; a document that has nothing else goes."""
-    cut = removals(docs, text_out=True, extra=["lang", "source", "n_chars"])
+    rows, _ = with_rows(spark, docs)
+    cut = removals(rows.withColumnRenamed("doc_id", "own"), key="row", text_out=True, extra=["own", "lang", "source", "n_chars"])
     left = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.where("n_removed = 0 OR trim(text) <> ''").withColumn("n_chars", left).select(*COLUMNS)
+    cut = cut.where("n_removed = 0 OR trim(text) <> ''").withColumn("n_chars", left)
+    return cut.select(F.col("own").alias("doc_id"), *COLUMNS[1:])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows, _ = with_rows(spark, docs)
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), key="row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, each with its sequence and offset."""
-    return pack_documents(docs, vocabulary())
+    rows, odd = with_rows(spark, docs)
+    packed = pack_documents(rows, vocabulary(), key="row").withColumnRenamed("row", "doc_id")
+    if odd is None:
+        return packed
+    own = F.when(F.col("row").isNotNull(), F.col("own")).otherwise(F.col("doc_id")).alias("doc_id")
+    return packed.join(odd, F.col("doc_id") == F.col("row"), "left").select(own, *packed.columns[1:])
 
 
 STAGES = [
