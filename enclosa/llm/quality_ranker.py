@@ -3,12 +3,12 @@
 A document's score is linear in its features; for a preference pair (better,
 worse), P(better wins) is the logistic function of the difference.  Pairs join
 labelled documents of quality 1 and 0.  The decision threshold is a quantile of
-the training documents' scores, and the reported score is a logistic
+the scores of all labelled documents that may be learned from, and the reported score is a logistic
 rescaling under which that quantile is DECISION.
 
-Pairs and the quantile come from a bounded sample of the labelled documents of
-the folds that may be learned from (``sample`` of each label, smallest hashes of
-doc_id).  Scoring reads every whole text and nothing else.
+Only the weights come from a bounded sample of these documents (``sample`` of each
+label, smallest hashes of doc_id); quantiles are read from a histogram of all
+their scores.  Scoring reads every whole text and nothing else.
 
 Empty and null texts have the features of an empty text.  Without labels of
 both kinds every score is 0.5.  Duplicate labels of a document count once,
@@ -30,6 +30,8 @@ from enclosa.llm.textblocks import NOT_SPACE, blocks, by_row, shingle_hashes, wo
 SAMPLE = 6000
 PAIRS = 20000
 DECISION = 0.7
+#: Bins of the histogram of scores, to a unit of score.
+BINS = 1024
 HASHED = 512
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, raw double"
 _CLASSES = {
@@ -89,7 +91,7 @@ def train(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, steps: int = 40
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> dict | None:
-    """The model, from at most ``sample`` documents of each label; None where a label is missing."""
+    """The model, its weights from at most ``sample`` documents of each label; None where a label is missing."""
     own = labels.select(F.col(key).alias("id"), F.col(label).alias("q")).where(F.col("q").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
     own = own.groupBy("id").agg(F.min("q").alias("q"))
     chosen = None
@@ -102,14 +104,39 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return None
     x = np.concatenate([features(data, off) for _, _, data, off in blocks(pa.array([r["t"] for r in rows], pa.string()))])
     mean, scale, w = train(x[y == 1], x[y == 0])
-    raw = ((x - mean) / scale) @ w
+    model = {"mean": mean, "scale": scale, "w": w}
+    bins = histogram(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & ~held_out("id")), own, model)
+    edge, good, bad = (np.array([r[c] for r in bins], np.float64) for c in ("bin", "good", "bad"))
+    edge, upto = edge / BINS, np.cumsum(good + bad)
+
+    def quantile(p: np.ndarray | float) -> np.ndarray:
+        """The bins of the quantiles."""
+        return np.searchsorted(upto, np.asarray(p) * upto[-1])
+
     # The quantile that best parts the labels, each label counting alike.
-    at = np.sort(raw)
-    grid = np.quantile(at, np.linspace(0.01, 0.99, 197))
-    fair = [((raw >= t) & (y == 1)).sum() / (y == 1).sum() + ((raw < t) & (y == 0)).sum() / (y == 0).sum() for t in grid]
-    best = np.flatnonzero(np.array(fair) >= max(fair) - 1e-9)
-    spread = max(1e-6, float(np.quantile(at, 0.9) - np.quantile(at, 0.1)))
-    return {"mean": mean, "scale": scale, "w": w, "cut": float(grid[best].mean()), "slope": 6 / spread}
+    grid = quantile(np.linspace(0.01, 0.99, 197))
+    fair = (good.sum() - (np.cumsum(good) - good)[grid]) / good.sum() + (np.cumsum(bad) - bad)[grid] / bad.sum()
+    best = np.flatnonzero(fair >= fair.max() - 1e-9)
+    spread = max(1e-6, float(edge[quantile(0.9)] - edge[quantile(0.1)]))
+    return model | {"cut": float(edge[grid[best]].mean()), "slope": 6 / spread}
+
+
+def raw_scores(model: dict, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return (((features(data, off) - model["mean"]) / model["scale"]) @ model["w"]).astype(np.float64)
+
+
+def histogram(docs: DataFrame, labels: DataFrame, model: dict) -> list:
+    """(bin, good, bad) in order of the bin: labelled rows of ``docs`` (id, t) by their scores, in bins of 1 / BINS."""
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, off in blocks(b.column(1)):
+                at = np.floor(raw_scores(cast.value, data, off) * BINS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(at)], ["id", "bin"])
+
+    scored = docs.select("id", "t").mapInArrow(part, "id long, bin long").join(labels, "id")
+    return scored.groupBy("bin").agg(F.sum("q").alias("good"), F.sum(1 - F.col("q")).alias("bad")).orderBy("bin").collect()
 
 
 def rank_quality(docs: DataFrame, model: dict | None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -122,7 +149,7 @@ def rank_quality(docs: DataFrame, model: dict | None, text: str = "text", key: s
         for b in batches:
             for lo, hi, data, off in blocks(b.column(2)):
                 if m:
-                    raw = (((features(data, off) - m["mean"]) / m["scale"]) @ m["w"]).astype(np.float64)
+                    raw = raw_scores(m, data, off)
                     score = 1 / (1 + np.exp(np.clip(-(m["slope"] * (raw - m["cut"]) + shift), -700, 700)))
                 else:
                     raw, score = np.zeros(hi - lo), np.full(hi - lo, 0.5)

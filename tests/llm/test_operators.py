@@ -176,6 +176,15 @@ def test_quality_ranker(spark, empty):
     assert quality_ranker.rank_quality(empty, None).count() == 0
 
 
+def test_quality_quantiles_are_of_all_labelled_rows(spark):
+    d = spark.createDataFrame([(i, prose(i, 60) if i % 5 else " ".join(f"{w}$" for w in prose(i, 20 + i % 40).split())) for i in range(400)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(400)], "doc_id long, quality int")
+    model = quality_ranker.fit(d, lab, sample=40)
+    raw = [x["raw"] for x in quality_ranker.rank_quality(d, model).collect() if not x["held_out"]]
+    low, high = np.quantile(raw, [0.1, 0.9], method="inverted_cdf")
+    assert abs(6 / model["slope"] - (high - low)) < 3 / 1024
+
+
 # --- set join ---
 
 
