@@ -352,3 +352,13 @@ def test_file_writer_and_checks(spark, tmp_path):
     with pytest.raises(FileError):
         mf.load(spark, tmp_path / "a", "int")
     assert mf.crc64(b"") == 0 and mf.crc64(b"123456789") == 0x6C40DF5F0B497347
+
+
+def test_grid_query_counts_its_nodes(spark, monkeypatch):
+    from enclosa.operators import legendre
+    from enclosa.plans import queries
+
+    assert queries.h09_grid(spark, "").first()["nodes"] == 36  # six on an axis; the SQL says 64
+    grid = legendre.Basis.grid
+    monkeypatch.setattr(legendre.Basis, "grid", lambda self: grid(self).where("q > 0"))
+    assert queries.h09_grid(spark, "").first()["nodes"] == 35
