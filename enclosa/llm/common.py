@@ -37,22 +37,34 @@ class Shared:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         self.root = f"{root or tempfile.mkdtemp(prefix='enclosa-')}/enclosa/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read back; its lineage ends here."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
         """Deletes what keep() wrote, once nothing reads it any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for folder in folders:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if self.root.rpartition("/")[2] in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                self._delete(folder)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Keeps a result and deletes everything that was kept before it."""
+        before, self.paths = self.paths, []
+        out = self.keep(df, "result")
+        for path in before:
+            self._delete(path)
+        self.release()
+        return out
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans that are finished with."""

@@ -4,24 +4,33 @@ A text is the set of its word n-grams (64-bit hashes).  Texts are taken in bands
 of sizes; within a band, at most H elements can be in one of two linked sets
 and not in the other.  The band's universe is dealt by hash into segments:
 ``ones`` whose subsets must be equal and ``twos`` that may differ by one element
-(found through the subset and its one-deletion neighbourhood).  With
-ones + 2 * twos > H, linked sets agree in one segment at least, so no link is
-lost.  How many of each a band has is allocated by cost: rows that it writes
+(found through the subset and its one-deletion neighbourhood).  H differences
+leave ``spare`` + 1 segments in agreement at least.  A set whose empty segments
+(and single elements of ``twos``) are no more than ``spare`` therefore shares a
+segment that has something in it with each set that it links to, and signs no
+empty one; the few other sets sign all of theirs.  So no link is lost, and no
+signature is shared for being empty.  How many segments of each kind a band has
+is allocated by cost: bytes that it writes, within a limit for each element,
 against the rows that meet by chance, from the number of texts in the band.
 
-Equal sets are collapsed before the join.  Sets that share a segment are
+Equal sets are collapsed before they are signed.  Signatures are moved once, as
+packed rows of a bucket (a range of signatures), in as many waves as it takes
+for one not to exceed WAVE of the texts' bytes.  Sets that share a signature are
 candidates; a parity sketch bounds their difference from below, and what is
 left is verified exactly on the sets.  Pairs of one component need no further
-verification, since the result is the components.  A segment shared by more
+verification, since the result is the components.  A signature shared by more
 than GROUP sets gives each set's pair with the least one only; pairs between the
 components that remain in it are then found from the sketches, for each pair of
-bounded blocks in a task of its own.
+bounded blocks in a task of its own.  Where many sets of one block of texts share
+a signature, they are paired with their least one before the exchange, and only
+that one goes to the signature's bucket.
 
 Words are split at space and TAB to CR after A-Z are lower-cased.  With fewer
 than n words the whole sequence is the one shingle; a null text or one without
 words has the empty set and is linked with nothing.  Copies link.  Rows that
 repeat a doc_id count as that document.  A row without doc_id has the component
-of a document with the same set, or none.  Other columns are ignored.
+of a document with the same set, or none.  An empty table gives an empty one.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +54,12 @@ BAND, SKETCH, GROUP = 1.5, 2, 48
 BLOCK, BLOCK_BYTES = 4096, 8 << 20
 #: Ids that are broadcast: 8 MB of numbers.
 BROADCAST = 1 << 20
-#: What writing a row costs against comparing two rows that meet.
-ROW_COST = 8.0
+#: Bytes of a signature in the exchange, as measured; signatures for each element of a set at most; what writing one costs against comparing two rows that meet.
+ROW_BYTES, ROWS, ROW_COST = 8.5, 0.75, 8.0
+#: Bytes of text of an element, the share of the texts' bytes that a wave of signatures may have, and signatures of a bucket.
+ELEMENT, WAVE, BUCKET = 6, 0.75, 1 << 20
+#: Bytes of texts that are signed together, and sets of these that may share a signature before they are paired on the spot.
+SIGNED, NEAR = 4 << 20, 16
 
 
 def overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -62,32 +75,66 @@ def bands(largest: int, factor: float = BAND) -> list[int]:
     return out
 
 
-def allocate(low: int, high: int, texts: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(ones, twos) of the band of sizes low <= a < high, whose larger sets may be up to a * 100 / percent.
-
-    Chance meetings are taken from empty segments, whose share falls with the
-    elements that a segment has; twos hold more elements but write one row for
-    each of them.
-    """
+def apart(low: int, high: int, percent: int = PERCENT) -> int:
+    """The most elements in one and not in the other of two linked sets, of which the smaller has low <= a < high."""
     top = 0
     for a in range(low, high) if high - low < 4000 else (low, high - 1):
         b = a * 100 // percent
         top = max(top, a + b - 2 * overlap(a, b, percent), 2 * a - 2 * overlap(a, a, percent), a + max(a, b - 1) - 2 * overlap(a, max(a, b - 1), percent))
-    if high - low >= 4000:
-        top += 2
-    need = top + 1
+    return top + 2 if high - low >= 4000 else top
+
+
+def spare(ones: int, twos: int, most: int) -> int:
+    """How many segments beyond one agree at least after ``most`` differences; negative where none may."""
+    return (ones - most + twos if most <= ones else twos - (most - ones) // 2) - 1
+
+
+def _beyond(mean: float, k: int) -> float:
+    """P(X > k) for a Poisson variable."""
+    if mean <= 0:
+        return 0.0
+    term, total = math.exp(-min(mean, 700.0)), 0.0
+    for i in range(k + 1):
+        total += term
+        term *= mean / (i + 1)
+    return max(0.0, 1 - total)
+
+
+def signed(ones: int, twos: int, size: float) -> float:
+    """Signatures of a set of this size."""
+    return ones + twos * (1 + size / (ones + twos))
+
+
+def allocate(low: int, high: int, texts: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(ones, twos) of the band of sizes low <= a < high, whose larger sets may be up to a * 100 / percent.
+
+    The cost is of the signatures, and of three kinds of pairs that meet without
+    being alike: sets with more empty segments than ``spare``, and sets of which
+    a segment has nothing but a passage that a third of all texts share.  Twos
+    hold more elements, which makes such segments rarer, but write one
+    signature for each; ROWS signatures for each element are the limit, unless
+    no allocation has as few.
+    """
+    most = apart(low, high, percent)
+    if not most:
+        return 1, 0
     size = (low + high) / 2
     best = None
-    for twos in range(need // 2 + 1):
-        ones = need - 2 * twos
-        m = ones + twos
-        c = size / m
-        rows = texts * (ones + twos * (1 + c))
-        empty = math.exp(-min(c, 700))
-        met = texts**2 / 2 * (ones * empty**2 + twos * (empty * (1 + c)) ** 2)
-        cost = ROW_COST * rows + met
-        if best is None or cost < best[0]:
-            best = (cost, ones, twos)
+    for twos in sorted({0, *(int(1.4**k) for k in range(40) if int(1.4**k) <= (most + 2) // 2), (most + 2) // 2}):
+        for slack in (0, 1, 2, 3, 4, 6, 8, 11, 15, 20, 30, 45, 70, 110, 170):
+            ones = max(0, most + 1 - 2 * twos) + slack
+            if slack > most + 2 or (free := spare(ones, twos, most)) < 0:
+                continue
+            m = ones + twos
+            c = low / m
+            empty = math.exp(-min(c, 700))
+            odd = 0.0 if m == 1 else _beyond(ones * empty + twos * empty * (1 + c), free)
+            passage = (texts / 3) ** 2 / 2 * min(m, 16) / m * (ones * empty**2 + twos * (empty * (1 + c)) ** 2)
+            rows = signed(ones, twos, size)
+            cost = ROW_COST * texts * rows + (odd * texts) ** 2 / 2 + passage
+            key = (max(0.0, rows - ROWS * size - 4), cost)
+            if best is None or key < best[0]:
+                best = (key, ones, twos)
     return best[1], best[2]
 
 
@@ -98,6 +145,7 @@ class Plan:
         self.low, self.percent = np.array(low, np.int64), percent
         both = [allocate(low[k], low[k + 1], texts[k], percent) for k in range(len(low) - 1)]
         self.ones, self.twos = np.array([x[0] for x in both]), np.array([x[1] for x in both])
+        self.spare = np.array([spare(*x, apart(low[k], low[k + 1], percent)) for k, x in enumerate(both)])
 
     def schemes(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(which sets, their band): each set in its own band, and in the one below where it can link to a smaller set there."""
@@ -139,7 +187,7 @@ def sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) for each segment subset and each one-deletion of it."""
+    """(signature, row) for each segment subset and each one-deletion of it; empty segments (and single elements of twos) as the module says."""
     start = np.concatenate([[0], np.cumsum(sizes)])
     v = mix(h, 11)
     out_s, out_r = [], []
@@ -155,11 +203,16 @@ def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, plan: Plan) -
         seg = (mix(h[at], 12) >> np.uint64(11)).astype(np.int64) % m[own]
         place = base[own] + seg
         total = sums(v[at], place, base[-1])
-        label = np.repeat(mix(band.astype(np.uint64), 13), m) + (np.arange(base[-1]) - np.repeat(base[:-1], m)).astype(np.uint64)
-        label = mix(label, 14)
-        out_s.append(mix(total + label, 15))
-        out_r.append(np.repeat(which, m))
-        near = seg >= ones[own]
+        of = np.repeat(np.arange(len(which)), m)
+        number = np.arange(base[-1]) - base[of]
+        label = mix(mix(band.astype(np.uint64), 13)[of] + number.astype(np.uint64), 14)
+        held = np.bincount(place, minlength=base[-1])
+        weak = held <= (number >= ones[of])
+        odd = np.bincount(of, weights=weak, minlength=len(which)) > plan.spare[band]
+        signs = (held > 0) | odd[of]
+        out_s.append(mix((total + label)[signs], 15))
+        out_r.append(which[of[signs]])
+        near = np.flatnonzero((seg >= ones[own]) & ((held[place] > 1) | odd[own]))
         out_s.append(mix(total[place[near]] - v[at][near] + label[place[near]], 15))
         out_r.append(which[own[near]])
     return np.concatenate(out_s) if out_s else np.zeros(0, np.uint64), np.concatenate(out_r) if out_r else np.zeros(0, np.int64)
@@ -197,100 +250,149 @@ def differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded(a, n) ^ folded(b, n)).sum())
 
 
-_SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, sigs binary, sketch binary, short binary"
+_SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, short binary"
 _SETS = "doc_id long, own binary"
 
 
-def summaries(docs: DataFrame, plan: Plan, text: str, key: str, n: int) -> DataFrame:
+def summaries(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in blocks(b.column(1)):
                 h, r = sets_of(data, off, n)
                 size = np.bincount(r, minlength=hi - lo)
-                sig, of = signatures(h, r, size, plan)
-                o = np.argsort(of, kind="stable")
-                cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))]).astype(np.int64)
                 sketch = parity(h, r, size)
                 short = [folded(np.frombuffer(x, np.uint64), len(x) // 16).tobytes() for x in sketch]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sums(mix(h, 1), r, hi - lo).view(np.int64)), pa.array(sums(mix(h, 2), r, hi - lo).view(np.int64)),
-                     _binary(sig[o], cut), pa.array(sketch, pa.binary()), pa.array(short, pa.binary())],
-                    ["doc_id", "n_shingles", "h1", "h2", "sigs", "sketch", "short"],
+                     pa.array(sketch, pa.binary()), pa.array(short, pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "sketch", "short"],
                 )
 
     return docs.select(key, text).mapInArrow(part, _SUMMARY)
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id, size) for each signature of each set."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            s = b.slice(lo, 500)
-            raw = [x.as_py() for x in s.column(2)]
-            k = np.array([len(x) // 8 for x in raw])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(s.column(0).to_numpy(), k)), pa.array(np.repeat(s.column(1).to_numpy(), k))], ["sig", "id", "size"])
+#: Low bits of a signature that are stored; a bucket is a range of the others.
+_LOW = 40
+_PACKED = "bucket long, packed binary"
+
+
+def _planes(sig: np.ndarray, flag: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """15 rows of bytes: 5 of the signature, a flag, the size's logarithm, 8 of the id; equal bytes stand together, which compresses."""
+    out = np.empty((15, len(sig)), np.uint8)
+    out[:5] = np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :5].T
+    out[5], out[6] = flag, np.minimum(255, 12 * np.log2(np.maximum(size, 1)))
+    out[7:] = np.ascontiguousarray(ids).view(np.uint8).reshape(-1, 8).T
+    return out
+
+
+def _unplaned(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures (low bits), flags, sizes and ids of packed rows."""
+    x = np.concatenate([np.frombuffer(r, np.uint8).reshape(15, -1) for r in rows], axis=1)
+    sig = np.zeros((x.shape[1], 8), np.uint8)
+    sig[:, :5] = x[:5].T
+    return sig.view(np.uint64)[:, 0], x[5], x[6].astype(np.int64), np.ascontiguousarray(x[7:].T).view(np.int64)[:, 0]
+
+
+def _signed(plan: Plan, n: int, buckets: int, first: int, last: int):
+    """Packed signatures of the buckets first <= k < last of (id, text).
+
+    Sets of one block that share a signature NEAR times over are packed apart, in
+    a bucket below zero, and the least of them alone is flagged and goes to the
+    signature's own bucket.
+    """
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).cast(pa.int64()).to_numpy()
+            for lo, hi, data, off in blocks(b.column(1), SIGNED):
+                h, r = sets_of(data, off, n)
+                size = np.bincount(r, minlength=hi - lo)
+                sig, of = signatures(h, r, size, plan)
+                bucket = ((sig >> np.uint64(_LOW)) * np.uint64(buckets) >> np.uint64(64 - _LOW)).astype(np.int64)
+                own = (bucket >= first) & (bucket < last)
+                sig, of, bucket = sig[own], of[own], bucket[own]
+                o = np.lexsort((ids[lo + of], sig))
+                sig, of, bucket = sig[o], of[o], bucket[o]
+                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+                length = np.diff(np.append(start, len(sig)))
+                many = np.repeat(length > NEAR, length)
+                flag = np.zeros(len(sig), np.uint8)
+                flag[start] = length > NEAR
+                names, rows = [], []
+                near = np.flatnonzero(many)
+                if len(near):
+                    names.append(-1 - int(sig[near[0]] % np.uint64(buckets)))
+                    rows.append((bucket[near].astype("<i8").tobytes(), _planes(sig[near], flag[near], size[of[near]], ids[lo + of[near]]).tobytes()))
+                stays = np.flatnonzero(~many | (flag > 0))
+                # Buckets are ranges of signatures; within one, rows in order of the text keep bytes of ids together.
+                stays = stays[np.lexsort((of[stays], bucket[stays]))]
+                planes = _planes(sig[stays], flag[stays], size[of[stays]], ids[lo + of[stays]])
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[stays]) != 0, [True]])) if len(stays) else np.zeros(1, np.int64)
+                names += bucket[stays[cut[:-1]]].tolist()
+                rows += [planes[:, i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                if names:
+                    rows = [x if isinstance(x, bytes) else x[0] + x[1] for x in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+    return part
 
 
 _MEET = "a long, b long, sig long"
 
 
+def _met(sig: np.ndarray, flag: np.ndarray, size: np.ndarray, ids: np.ndarray, far: float, star: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a signature (sig null); for a long or flagged run, or with ``star``, its pairs with the least id, and (id, null, sig) for its members."""
+    o = np.lexsort((ids, sig))
+    sig, flag, size, ids = sig[o], flag[o], size[o], ids[o]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    flagged = np.maximum.reduceat(flag, first)
+    length = np.add.reduceat(fresh.astype(np.int64), first)
+    sig, size, ids = sig[fresh], size[fresh], ids[fresh]
+    first = np.cumsum(length) - length
+    long = (length > GROUP) | (flagged > 0) | star
+    pairs = []
+    for n in np.unique(length[(length > 1) & ~long]):
+        f = first[(length == n) & ~long]
+        i, j = np.triu_indices(int(n), 1)
+        step = max(1, 2_000_000 // len(i))
+        for at in range(0, len(f), step):
+            g = f[at : at + step, None]
+            p, q = (g + i).ravel(), (g + j).ravel()
+            ok = np.abs(size[p] - size[q]) <= far
+            pairs.append(np.unique(np.stack([ids[p[ok]], ids[q[ok]]]), axis=1))
+    inside = np.repeat(long & ((length > 1) | (flagged > 0)), length)
+    least = np.repeat(ids[first], length)[inside]
+    pairs.append(np.unique(np.stack([least, ids[inside]])[:, least != ids[inside]], axis=1))
+    u = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.nulls(u.shape[1], pa.int64())], ["a", "b", "sig"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[inside]), pa.nulls(int(inside.sum()), pa.int64()), pa.array(sig[inside].view(np.int64))], ["a", "b", "sig"])
+
+
 def _meet(percent: int):
+    far = 12 * math.log2(100 / percent) + 1
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by sig and id.  Pairs of a run of equal sigs (sig null); for a long run its pairs with the least id, and (id, null, sig) for its members."""
-        keep = np.zeros((3, 0), np.int64)
-        star: tuple[int, int, int] | None = None  # sig, id and size of the least of a long run that still goes on
-
-        def fits(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
-            return 100 * np.minimum(sa, sb) >= percent * np.maximum(sa, sb)
-
-        def out(x: np.ndarray, ends: bool):
-            nonlocal keep, star
-            pairs, members = [], []
-            if star is not None and x.shape[1]:
-                k = int(np.searchsorted(x[0], star[0], "right"))
-                if k:
-                    pairs.append(np.stack([np.full(k, star[1]), x[1, :k]]))
-                    members.append(x[:2, :k])
-                    x = x[:, k:]
-                if x.shape[1]:
-                    star = None
-            if x.shape[1]:
-                first = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
-                length = np.diff(np.concatenate([first, [x.shape[1]]]))
-                last = first[-1]
-                if not ends and length[-1] <= GROUP:
-                    keep, x, first, length = x[:, last:], x[:, :last], first[:-1], length[:-1]
-                else:
-                    keep = x[:, :0]
-                for n in np.unique(length[(length > 1) & (length <= GROUP)]):
-                    f = first[length == n]
-                    i, j = np.triu_indices(int(n), 1)
-                    step = max(1, 2_000_000 // len(i))
-                    for at in range(0, len(f), step):
-                        g = f[at : at + step, None]
-                        p, q = (g + i).ravel(), (g + j).ravel()
-                        ok = fits(x[2, p], x[2, q]) & (x[1, p] != x[1, q])
-                        pairs.append(np.stack([x[1, p[ok]], x[1, q[ok]]]))
-                for f, n in zip(first[length > GROUP], length[length > GROUP], strict=True):
-                    pairs.append(np.stack([np.full(n - 1, x[1, f]), x[1, f + 1 : f + n]]))
-                    members.append(x[:2, f : f + n])
-                    if f == last:
-                        star = (int(x[0, f]), int(x[1, f]), int(x[2, f]))
-            else:
-                keep = x
-            for p in pairs:
-                ok = p[0] != p[1]
-                if ok.any():
-                    u = np.unique(np.sort(p[:, ok], 0), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.nulls(u.shape[1], pa.int64())], ["a", "b", "sig"])
-            for m in members:
-                yield pa.RecordBatch.from_arrays([pa.array(m[1]), pa.nulls(m.shape[1], pa.int64()), pa.array(m[0])], ["a", "b", "sig"])
+        """Of packed rows sorted by bucket; one bucket is held."""
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                sig, *rest = _unplaned(held)
+                yield from _met(sig | np.uint64(now << _LOW), *rest, far, False)
 
         for b in batches:
-            x = np.stack([b.column(k).to_numpy() for k in range(3)])
-            yield from out(np.concatenate([keep, x], 1), False)
-        yield from out(keep, True)
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = x.as_buffer().to_pybytes()
+                if k < 0:
+                    n = len(raw) // 23
+                    sig, *rest = _unplaned([raw[8 * n :]])
+                    yield from _met(sig | (np.frombuffer(raw[: 8 * n], "<u8") << np.uint64(_LOW)), *rest, far, True)
+                    continue
+                if k != now:
+                    yield from out()
+                    now, held = k, []
+                held.append(raw)
+        yield from out()
 
     return part
 
@@ -409,6 +511,24 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str, key: str, n: int, perce
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
+def _planned(classes: DataFrame, least: int, percent: int) -> tuple[Plan, int, int]:
+    """The plan for these sets, buckets and waves; what comes to the driver is one number for each band."""
+    largest = classes.agg(F.max("n_shingles")).first()[0] or 1
+    low = bands(int(largest))
+    band = sum((F.col("n_shingles") >= x).cast("int") for x in low[1:]) if len(low) > 1 else F.lit(0)
+    lower = F.ceil(F.col("n_shingles") * percent / 100) < F.element_at(F.array(*map(F.lit, low)), F.col("band") + 1)
+    found = classes.withColumn("band", band).groupBy("band", lower.alias("lower")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).collect()
+    texts = [0] * (len(low) - 1)
+    for r in found:
+        texts[r["band"]] += r["n"]
+        if r["lower"] and r["band"]:
+            texts[r["band"] - 1] += r["n"]
+    plan = Plan(low, texts, percent)
+    rows = sum(r["n"] * signed(int(plan.ones[k]), int(plan.twos[k]), r["size"] / r["n"]) for r in found for k in {r["band"], r["band"] - 1 if r["lower"] and r["band"] else r["band"]})
+    waves = max(1, math.ceil(rows * ROW_BYTES / (WAVE * ELEMENT * max(1, sum(r["size"] for r in found)))))
+    return plan, max(least, waves, math.ceil(rows / BUCKET)), waves
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -416,24 +536,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     """
     spark = docs.sparkSession
     shared = Shared(spark, "set-join")
-    # Texts by length in bytes, all of them: how many a band has is all that the allocation needs.
-    by_len = docs.select(F.floor(F.log2(F.octet_length(F.coalesce(text, F.lit(""))) + 1) * 4).alias("g")).groupBy("g").count().collect()
-    longest = max([2 ** ((r["g"] + 1) / 4) for r in by_len], default=1)
-    low = bands(int(longest) + 1)
-    texts = [sum(r["count"] for r in by_len if low[k] <= max(1, 2 ** (r["g"] / 4) / 6) < low[k + 1]) for k in range(len(low) - 1)]
-    plan = Plan(low, texts, percent)
-
-    signed = shared.keep(summaries(docs, plan, text, key, n), "summaries")
-    every = shared.keep(signed.drop("sigs"), "sets")
+    every = shared.keep(summaries(docs, text, key, n), "sets")
     same = ["n_shingles", "h1", "h2"]
-    # Copies are collapsed and their signatures moved in one grouping; the signatures of equal sets are equal.
-    reps = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")).where("id IS NOT NULL")
-    rows = reps.select("id", "n_shingles", "sigs").mapInArrow(_spread, "sig long, id long, size long")
-    met = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "id").mapInArrow(_meet(percent), _MEET)
-    met = shared.keep(met, "met")
     classes = shared.keep(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
-    shared.drop(signed)
-    shared.release()
+    plan, buckets, waves = _planned(classes, partitions(spark), percent)
+    ids = classes.select(F.col("id").alias(key)).distinct()
+    hint = F.broadcast if classes.count() <= BROADCAST else lambda d: d  # a longer list is joined by sorting
+    some = docs.select(F.col(key).cast("long").alias(key), text).join(hint(ids), key, "left_semi")
+    met = None
+    for w in range(waves):
+        packed = some.mapInArrow(_signed(plan, n, buckets, buckets * w // waves, buckets * (w + 1) // waves), _PACKED)
+        one = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent), _MEET)
+        one = shared.keep(one, "met")
+        shared.release()
+        met = one if met is None else met.unionByName(one)
 
     known = every.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.col("n_shingles").alias("size"), "sketch", "short")
     # A pair's sizes are close, so half a sketch tells them apart; groups of many sets take the whole.
@@ -461,8 +577,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     shared.release()
 
     own = every.select("doc_id", *same).join(classes, same, "left")
-    out = own.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
-    return out
+    return shared.finish(own.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id")))
 
 
 def _rest(pairs: DataFrame, links: DataFrame, label: DataFrame, docs: DataFrame, shared: Shared, text: str, key: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
