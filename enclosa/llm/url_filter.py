@@ -8,13 +8,18 @@ entry decides.
 
 The decision depends on host and fetch day alone, so captures are reduced to
 these before the list is joined: a host with a third of all captures is a few
-rows then.  The intervals of a host are one row, so the join has no range
-condition.  Decisions come back to the captures by an equi-join in which Spark
-splits skewed keys.
+rows then, and so is a parent domain of many hosts, as domain and day are
+made distinct once more.  The as-of join is a merge: the days asked for and the intervals
+of a domain are sorted together, and each day takes the last interval that
+began before it.  What one domain has there is bounded by the number of days,
+however many hosts and entries it has.  Decisions come back to the captures by
+equi-joins in which Spark splits skewed keys.
 
 Null or hostless URLs have no host, match nothing and are kept.  Entries with a
 null host, day or action are ignored; of several on one day the last action in
 alphabetical order holds.  A capture without a fetch day matches nothing.
+Repeated captures each get their row; an empty list keeps every capture, and
+no captures give no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,15 +51,24 @@ def intervals(entries: DataFrame, host: str = "host", action: str = "action", da
     return e.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("host").orderBy("valid_from")))
 
 
+def as_of(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(domain, at, action, valid_from) for each distinct (domain, at) of ``points`` in an interval of the domain."""
+    none = F.lit(None)
+    asked = points.select("domain", "at").distinct().select("domain", "at", F.lit(1).alias("kind"), none.cast("string").alias("action"), none.cast("long").alias("valid_from"), none.cast("long").alias("valid_to"))
+    known = spans.select(F.col("host").alias("domain"), F.col("valid_from").cast("long").alias("at"), F.lit(0).alias("kind"), "action", F.col("valid_from").cast("long"), F.col("valid_to").cast("long"))
+    before = Window.partitionBy("domain").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = F.when(F.col("kind") == 0, F.struct("action", "valid_from", "valid_to"))
+    met = known.unionByName(asked).withColumn("entry", F.last(entry, ignorenulls=True).over(before)).where("kind = 1 AND entry IS NOT NULL")
+    return met.where("entry.valid_to IS NULL OR entry.valid_to > at").select("domain", "at", "entry.action", "entry.valid_from")
+
+
 def temporal_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", key: str = "page_id") -> DataFrame:
     """key, host, matched (domain of the deciding entry), action, valid_from and kept, for every capture."""
-    history = intervals(entries).groupBy("host").agg(F.collect_list(F.struct("valid_from", "valid_to", "action")).alias("history")).withColumnRenamed("host", "domain")
-    c = captures.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), F.col(fetched).alias("at"))
+    c = captures.select(F.col(key).alias("capture"), host_of(F.col(url)).alias("host"), F.col(fetched).cast("long").alias("at"))
     asked = c.select("host", "at").dropna().distinct().select("host", "at", F.posexplode(domains_of(F.col("host"))).alias("depth", "domain"))
-    active = F.filter("history", lambda e: (e["valid_from"] <= F.col("at")) & (e["valid_to"].isNull() | (e["valid_to"] > F.col("at"))))
-    hits = asked.join(history, "domain").withColumn("hit", F.get(active, F.lit(0))).where("hit IS NOT NULL")
-    best = hits.groupBy("host", "at").agg(F.min(F.struct("depth", "domain", F.col("hit.action").alias("action"), F.col("hit.valid_from").alias("valid_from"))).alias("best"))
+    hits = asked.join(as_of(asked, intervals(entries)), ["domain", "at"])
+    best = hits.groupBy("host", "at").agg(F.min(F.struct("depth", "domain", "action", "valid_from")).alias("best"))
     return c.join(best, ["host", "at"], "left").select(
-        key, "host", F.col("best.domain").alias("matched"), F.col("best.action").alias("action"), F.col("best.valid_from").alias("valid_from"),
+        F.col("capture").alias(key), "host", F.col("best.domain").alias("matched"), F.col("best.action").alias("action"), F.col("best.valid_from").alias("valid_from"),
         (F.coalesce(F.col("best.action"), F.lit(ALLOW)) != BLOCK).alias("kept"),
     )
