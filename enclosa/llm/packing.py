@@ -8,12 +8,15 @@ used; the two partitions of largest imbalance are merged with opposing
 imbalances (fullest with emptiest) until one is left, whose windows are nearly
 equal.  While the fullest exceeds ``window``, k rises by one.
 
-A block is a hash range of doc_id, so its size does not depend on how rows lie
-in files, and no key can make it large: a document leaves less than one window
-to it.  Each id lies in exactly one piece.
-
-A null text is empty and is its separator alone.  Rows that repeat a doc_id
-are packed one by one.  Other columns are ignored.
+A block is a hash range of the piece (document, place and checksum of its ids),
+so its size does not depend on how rows lie in files.  Blocks are read as sorted
+streams and packed in portions of at most PORTION pieces, so that no task holds
+more, even where rows repeat one document without end.  Each id lies in exactly
+one piece.
+
+A null text is empty and is its separator alone.  Rows that repeat a doc_id, and
+rows without one, are packed one by one.  An empty table gives an empty one.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ WINDOW = 1024
 PIECE = 256
 #: Documents in a block on average: about 300 windows of leftovers.
 BLOCK_DOCS = 600
+#: Pieces that are packed together at most: several blocks' worth.
+PORTION = 12_000
 SEPARATOR = 0
 CACHE = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -182,6 +186,22 @@ def windows(sizes: list[int], capacity: int = WINDOW) -> np.ndarray:
         k += 1
 
 
+def _packed(t: pa.Table, block: int, first: int, window: int) -> tuple[pa.Table, int]:
+    """A portion of one block with sequence_id, numbered from ``first``, and offset; and the number after the last."""
+    length = t.column("length").to_numpy()
+    full = length == window
+    number = np.zeros(len(length), np.int64)
+    number[full] = np.arange(full.sum())
+    number[~full] = windows(length[~full].tolist(), window) + full.sum()
+    o = np.argsort(number, kind="stable")
+    upto = np.cumsum(length[o]) - length[o]
+    fresh = np.concatenate([[True], number[o][1:] != number[o][:-1]])
+    offset = np.empty(len(length), np.int64)
+    offset[o] = upto - np.repeat(upto[fresh], np.diff(np.append(np.flatnonzero(fresh), len(o))))
+    out = t.append_column("sequence_id", pa.array((block << 32) + first + number)).append_column("offset", pa.array(offset))
+    return out, first + int(number.max()) + 1
+
+
 def pack(pieces: DataFrame, documents: int, window: int = WINDOW, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``pieces`` with sequence_id and offset; other columns of it stay.
 
@@ -190,18 +210,36 @@ def pack(pieces: DataFrame, documents: int, window: int = WINDOW, block_docs: in
     blocks = max(1, -(-documents // block_docs))
     schema = pieces.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",sequence_id:bigint,offset:bigint"
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
-        full = frame["length"].to_numpy() == window
-        number = np.zeros(len(frame), np.int64)
-        number[full] = np.arange(full.sum())
-        number[~full] = windows(frame["length"][~full].tolist(), window) + full.sum()
-        frame["sequence_id"] = number + (int(frame["block"].iloc[0]) << 32)
-        frame["offset"] = frame.groupby("sequence_id")["length"].cumsum() - frame["length"]
-        return frame.drop(columns="block")
-
-    block = F.pmod(F.xxhash64(F.lit("pack"), "doc_id"), F.lit(blocks)).alias("block")
-    return pieces.select("*", block).groupBy("block").applyInPandas(one, schema)
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, held, size = None, 0, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal first, held, size
+            if held:
+                t, first = _packed(pa.Table.from_batches(held), now, first, window)
+                held, size = [], 0
+                yield from t.to_batches()
+
+        for b in batches:
+            key = b.column(b.num_columns - 1).to_numpy()
+            b = b.select(b.schema.names[:-1])
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist() if len(key) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if key[lo] != now:
+                    yield from out()
+                    now, first = int(key[lo]), 0
+                while lo < hi:
+                    some = b.slice(lo, min(hi - lo, PORTION - size))
+                    held.append(some)
+                    size, lo = size + len(some), lo + len(some)
+                    if size == PORTION:
+                        yield from out()
+        yield from out()
+
+    # The piece decides on its block, not the document: rows that repeat a document differ in no other way.
+    block = F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "start", "ids_crc32"), F.lit(blocks)).alias("block")
+    dealt = pieces.select("*", block).repartition("block").sortWithinPartitions("block", "doc_id", "start", "length", "ids_crc32")
+    return dealt.mapInArrow(part, schema)
 
 
 def pack_documents(docs: DataFrame, file: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, ids: bool = False) -> DataFrame:
