@@ -10,8 +10,14 @@ Training looks at a bounded sample (``sample`` rows, the smallest hashes of
 doc_id among the rows with a language, per language) of the folds that may be
 learned from; prediction looks at every whole text and nothing else.
 
+The sample's features are made on the executors and reach the driver as the
+n-grams that occur: at most DIM numbers a row, however long the texts are.
+
 A null text, or one without a letter, is ``und`` with score 0.  Where no row can
-be learned from, every prediction is ``und``.  Other columns are ignored.
+be learned from, every prediction is ``und``.  Rows that repeat a doc_id, and
+rows without one, are predicted one by one; of rows that repeat a doc_id and a
+language one text is learned from, and rows without doc_id are not.  An empty
+table gives an empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +63,19 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, text, lang) with a letter in the text: the features that are not zero."""
+    for b in batches:
+        for lo, hi, data, off in blocks(b.column(1)):
+            x = features(data, off)
+            own = [k for k in range(hi - lo) if _LETTER.search(b.column(1)[lo + k].as_py())]
+            at = [np.flatnonzero(x[k]) for k in own]
+            some = b.slice(lo, hi - lo).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0).cast(pa.int64()), some.column(2).cast(pa.string()), pa.array([p.astype("<u2").tobytes() for p in at], pa.binary()), pa.array([x[k, p].astype("<f4").tobytes() for k, p in zip(own, at, strict=True)], pa.binary())],
+                ["id", "lang", "places", "counts"])
+
+
 def codewords(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
     """n rows of +1 and -1; the best of many random draws by least distance, each bit splitting the languages."""
     rng = np.random.default_rng(seed)
@@ -105,23 +124,20 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "
     """The model, from at most ``sample`` texts of each label; None without labelled rows."""
     d = docs.select(F.col(key).alias("id"), F.col(label).alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    n = d.groupBy("lang").count().collect()
-    if not n:
-        return None
     # Only ids with a small hash can be among the sample; the bound keeps the window small for a frequent label.
-    total = {r["lang"]: r["count"] for r in n}
-    bound = F.lit(None).cast("double")
-    for lang, c in total.items():
-        bound = F.when(F.col("lang") == lang, min(1.0, 4 * sample / c)).otherwise(bound)
-    d = d.withColumn("h", F.xxhash64("id")).where(F.abs(F.col("h") / 2.0**63) <= bound)
-    chosen = d.withColumn("r", rank).where(F.col("r") <= sample).select("id", "lang")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "t", "lang").orderBy("id").collect()
-    rows = [r for r in rows if _LETTER.search(r["t"])]
-    if not rows:
+    total = d.groupBy("lang").agg(F.count("*").alias("c"))
+    d = d.withColumn("h", F.xxhash64("id")).join(total, "lang").where(F.abs(F.col("h") / 2.0**63) <= 4 * sample / F.col("c"))
+    chosen = d.withColumn("r", rank).where(F.col("r") <= sample).select("id", "lang").distinct()
+    some = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "id").groupBy("id", "lang").agg(F.min("t").alias("t")).select("id", "t", "lang")
+    rows = some.mapInArrow(_sparse, "id long, lang string, places binary, counts binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("counts", "ascending")])
+    if not len(rows):
         return None
-    langs = sorted({r["lang"] for r in rows})
-    y = np.array([langs.index(r["lang"]) for r in rows])
-    x = np.concatenate([features(data, off) for _, _, data, off in blocks(pa.array([r["t"] for r in rows], pa.string()))])
+    named = rows.column("lang").to_pylist()
+    langs = sorted(set(named))
+    y = np.array([langs.index(x) for x in named])
+    x = np.zeros((len(y), DIM), np.float32)
+    for k, (at, v) in enumerate(zip(rows.column("places"), rows.column("counts"), strict=True)):
+        x[k, np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(v.as_buffer(), "<f4")
     code = codewords(len(langs))
     w, b, alpha = train(x, y, code)
     return {"langs": langs, "code": code, "w": w, "b": b, "alpha": alpha}
