@@ -8,11 +8,14 @@ rescaling under which that quantile is DECISION.
 
 Only the weights come from a bounded sample of these documents (``sample`` of each
 label, smallest hashes of doc_id); quantiles are read from a histogram of all
-their scores.  Scoring reads every whole text and nothing else.
+their scores.  The sample's features are made on the executors; the driver gets
+their numbers, of the same size however long the texts are.  Scoring reads every
+whole text and nothing else.
 
 Empty and null texts have the features of an empty text.  Without labels of
 both kinds every score is 0.5.  Duplicate labels of a document count once,
-quality 0 before 1.  Other columns are ignored.
+quality 0 before 1.  Rows that repeat a doc_id, and rows without one, are scored
+one by one; of repeated ones the least text is learned from.  An empty table gives an empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +77,14 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack([dense, bag]).astype(np.float32)
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, text, q): id, q and the features."""
+    for b in batches:
+        for lo, hi, data, off in blocks(b.column(1)):
+            own = [v.tobytes() for v in features(data, off).astype("<f4")]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), b.column(2).slice(lo, hi - lo).cast(pa.int64()), pa.array(own, pa.binary())], ["id", "q", "x"])
+
+
 def train(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, steps: int = 400, rate: float = 0.5, l2: float = 1e-3, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, scales and weights: logistic loss on the feature differences of preference pairs."""
     both = np.concatenate([good, bad])
@@ -98,11 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     for q in (0, 1):
         some = own.where(F.col("q") == q).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "q").orderBy("id").collect()
-    y = np.array([r["q"] for r in rows])
+    some = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "q").agg(F.min("t").alias("t")).select("id", "t", "q")
+    rows = some.mapInArrow(_featured, "id long, q long, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    y = rows.column("q").to_numpy()
     if not len(y) or y.min() == y.max():
         return None
-    x = np.concatenate([features(data, off) for _, _, data, off in blocks(pa.array([r["t"] for r in rows], pa.string()))])
+    x = np.stack([np.frombuffer(v.as_buffer(), "<f4") for v in rows.column("x")])
     mean, scale, w = train(x[y == 1], x[y == 0])
     model = {"mean": mean, "scale": scale, "w": w}
     bins = histogram(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & ~held_out("id")), own, model)
