@@ -19,9 +19,10 @@ No task ever gathers one key's rows: counts and minima are aggregated in
 part before each shuffle, and what comes back to a document is about that document.
 
 A null text is empty.  Texts of less than LENGTH bytes lose nothing.  Rows that
-repeat a doc_id and its text are the same document and lose the same; a row
-without doc_id comes nowhere in the order, so it loses nothing and takes nothing
-from others.  doc_id lies from -2**35 to 2**35 and a text has less than 2**28
+repeat a doc_id and its text are the same document and lose the same; further
+texts of a repeated doc_id (all but that of the least hash) are documents that come
+after all others, in the order of their hashes.  A row without doc_id comes nowhere in the order, so it loses nothing and takes nothing
+from others.  An empty table gives an empty one.  doc_id lies from -2**35 to 2**35 and a text has less than 2**28
 bytes; otherwise the query fails with an error.  Other columns are ignored.
 """
 
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from enclosa.llm.common import Shared, partitions
 from enclosa.llm.difference_cover import equal_prefixes
+from enclosa.llm.rows import with_rows
 from enclosa.llm.textblocks import _TABLE, blocks, mix, powers
 
 LENGTH, K = 100, 20
@@ -258,17 +260,36 @@ def _located(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.shiftright("pos", START_BITS).alias("doc_id"), F.col("pos").bitwiseAND((1 << START_BITS) - 1).alias("start"), *more)
 
 
-def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out: bool = False, extra: list[str] | None = None) -> DataFrame:
+def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out: bool = False, extra: list[str] | None = None, unique: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row; with ``text_out`` the remaining ``text`` in place of its hash.
 
     Bytes of a character that was cut are dropped from ``text``.  Columns named
-    in ``extra`` follow.
+    in ``extra`` follow.  ``unique`` says that no doc_id has different texts, which is otherwise looked up.
     """
     spark = docs.sparkSession
-    shared = Shared(spark, "substring-dedup")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *(extra or ()))
+    named = [F.col(c).alias(f"extra_{k}") for k, c in enumerate(extra or ())]
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *named)
     nameless, docs = docs.where("doc_id IS NULL"), docs.where("doc_id IS NOT NULL")
+    more = [f"extra_{k}" for k in range(len(named))]
+    rows, odd = (docs, None) if unique else with_rows(spark, docs)
+    if odd is None:
+        out = _removals(docs, text_out, more)
+    else:
+        docs = rows.withColumnRenamed("doc_id", "extra_doc").withColumnRenamed("row", "doc_id")
+        out = _removals(docs, text_out, [*more, "extra_doc"]).drop("doc_id").withColumnRenamed("extra_doc", "doc_id")
+    zero = F.lit(0).cast("long")
+    rest = nameless.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+        (F.col("text") if text_out else F.sha2(F.col("text").cast("binary"), 256)).alias("last"), *more)
+    base = ["doc_id", "n_bytes", "n_removed", "n_spans"]
+    every = out.select(*base, "last", *more).unionByName(rest)
+    return every.select(*base, F.col("last").alias("text" if text_out else "kept_sha256"), *(F.col(m).alias(c) for m, c in zip(more, extra or (), strict=True)))
+
 
+def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
+    """removals() of (doc_id, text and extra columns) without nulls."""
+    spark = docs.sparkSession
+    shared = Shared(spark, "substring-dedup")
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, pos long")
     alone = anchors.groupBy("anchor").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).where("n = 1")
     unique = shared.keep(_located(alone).groupBy("doc_id").agg(F.collect_list("start").alias("unique")), "unique")
@@ -299,10 +320,6 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out:
     lists = unique.join(outs, "doc_id", "full").join(kept, "doc_id", "full")
     every = docs.join(lists, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("unique", none).alias("unique"),
-        F.coalesce("outs", F.array().cast("array<struct<start:bigint,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *(extra or ()))
-    out = every.mapInArrow(_finished(text_out, extra or []), ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra or ())]))
-    zero = F.lit(0).cast("long")
-    rest = nameless.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-        (F.col("text") if text_out else F.sha2(F.col("text").cast("binary"), 256)).alias("last"), *(extra or ()))
-    return out.unionByName(rest).withColumnRenamed("last", "text" if text_out else "kept_sha256")
+        F.coalesce("outs", F.array().cast("array<struct<start:bigint,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *extra)
+    kinds = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
+    return every.mapInArrow(_finished(text_out, extra), kinds)
