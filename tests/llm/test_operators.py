@@ -95,6 +95,39 @@ def test_quality_rules_em():
     assert quality_rules.fit([])["prior"] == quality_rules.PRIOR
 
 
+def test_quality_rules_em_recovers_planted_accuracies():
+    """Ten rules of known error rates, some of them noisy, over documents of which 15 % are bad."""
+    rng = np.random.default_rng(6)
+    alarm = np.array([0.01, 0.02, 0.01, 0.12, 0.01, 0.03, 0.02, 0.08, 0.01, 0.02])
+    seen = np.array([0.6, 0.5, 0.7, 0.3, 0.4, 0.5, 0.8, 0.2, 0.4, 0.6])
+    good = rng.random(40_000) < 0.85
+    v = np.where(rng.random((len(good), 10)) < np.where(good[:, None], alarm, seen), -1, 1)
+    v[rng.random(v.shape) < 0.15] = 0
+    rows, place, n = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    rows = [tuple(r) for r in rows.tolist()]
+    model = quality_rules.fit(list(zip(rows, n.tolist(), strict=True)))
+    assert abs(model["prior"] - 0.85) < 0.02
+    for k, t in enumerate(model["table"]):
+        assert abs(t[1][-1] - alarm[k]) < 0.02 and abs(t[-1][-1] - seen[k]) < 0.06, k
+    kept = np.array([quality_rules.posterior(model["prior"], model["table"], r) >= 0.5 for r in rows])[place.ravel()]
+    every = (v >= 0).all(1)
+    assert (kept == good).mean() > 0.97 > 0.85 > (every == good).mean()
+    assert 0.1 < (kept != every).mean()
+
+
+def test_quality_rules_are_not_a_conjunction(spark):
+    """Short but clean texts are kept although a rule votes against them; texts in which several rules agree are not."""
+    r = random.Random(12)
+    clean = [". ".join(" ".join(r.choice(WORDS) for _ in range(9)).capitalize() for _ in range(r.randrange(2, 40))) + "." for _ in range(400)]
+    junk = [" ".join(w + r.choice(["###", "&&&", "%%%"]) for w in c.split()) for c in clean[:40]]
+    d = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in quality_rules.weak_supervision(d).collect()}
+    assert sum(got[i]["kept"] for i in range(400)) >= 390
+    assert sum(got[i]["kept"] for i in range(400, 440)) <= 1
+    assert any(x["kept"] and x["bad_votes"] for x in got.values())
+    assert quality_rules.weak_supervision(d.limit(0)).count() == 0
+
+
 # --- licence scan ---
 
 
@@ -400,6 +433,54 @@ def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
     assert sorted(decontamination.leaks(d, b).collect()) == whole
 
 
+def test_decontamination_recall_at_the_threshold():
+    """Windows that keep just enough of an item, with words of other items among the new ones: none is lost."""
+    r = random.Random(8)
+    texts = [prose(3000 + k, r.choice((9, 12, 20, 33, 50))).replace("\n", " ") for k in range(60)]
+    items = decontamination.Items(list(range(60)), texts)
+    docs = []
+    for k in range(600):
+        own = texts[k % 60].split()
+        shingles = max(1, len(own) - 4)
+        lost = int(0.2 * shingles + 1e-9)
+        if lost:
+            own[: min(lost, len(own))] = (prose(4000 + k, 60).split() if k % 2 else texts[(k + 7) % 60].split() * 9)[: min(lost, len(own))]
+        docs.append(prose(5000 + k, 8).replace("\n", " ") + " " + " ".join(own) + " " + prose(6000 + k, 8).replace("\n", " "))
+    want = leaks_of(list(enumerate(docs)), list(enumerate(texts)))
+    assert len(want) >= 600
+    raw = [t.encode() for t in docs]
+    got = decontamination.matches(items, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    assert {(m[0], m[1]): (round(m[-1], 9), m[2]) for m in got} == want
+
+
+@pytest.mark.parametrize("number", [10, 1000, 20000])
+def test_index_prunes_however_many_items(number):
+    """Unrelated items that a window is compared with: fewer than one in a hundred."""
+    texts = [prose(10**6 + k, 20) for k in range(number)]
+    items = decontamination.Items(list(range(number)), texts)
+    raw = [prose(7 * 10**6, 40).encode(), *(t.encode() for t in texts[:10])]
+    seen = []
+    got = decontamination.matches(items, np.frombuffer(b"\n".join(raw) , np.uint8), np.cumsum([0] + [len(x) + 1 for x in raw[:-1]] + [len(raw[-1])]), seen)
+    assert {m[1] for m in got} == set(range(10))
+    windows, candidates = {}, 0
+    for n, _, c in seen:
+        windows[n] = n
+        candidates += c
+    assert candidates <= 4 * sum(windows) + 0.01 * number * sum(windows)
+
+
+def test_blocks_hold_every_fingerprint_within_the_radius():
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 2**63, (300, decontamination.BLOCKS), dtype=np.uint64)
+    near = prints[:40].copy()
+    for k in range(40):
+        for bit in rng.choice(64 * decontamination.BLOCKS, decontamination.BLOCKS * decontamination.RADIUS, replace=False):
+            near[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    p, q = decontamination.within(prints, near)
+    far = np.bitwise_count(prints[:, None] ^ near[None]).sum(2)
+    assert {(int(i), int(j)) for i, j in zip(p, q)} == {(int(i), int(j)) for i, j in zip(*np.nonzero(far <= decontamination.BLOCKS * decontamination.RADIUS))} >= {(k, k) for k in range(40)}
+
+
 def test_near_tables_hold_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, 8)
