@@ -1,7 +1,10 @@
 """Documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``documents``.  Decisions are of rows: see with_rows().  run() applies them to ``documents``.
+last return the columns of ``documents``; other columns are dropped.  Decisions are
+of rows: with_rows() numbers those that a doc_id does not tell apart.  An empty
+table passes every stage as an empty one.  run() applies them to ``documents``
+and keeps each stage's table in the shared folder while the next one reads it.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from enclosa.llm.decontamination import leaks
 from enclosa.llm.language_id import UND, fit, language_id
 from enclosa.llm.packing import pack_documents
 from enclosa.llm.queries import vocabulary
-from enclosa.llm.set_join import BROADCAST, near_duplicates
+from enclosa.llm.rows import small, with_rows
+from enclosa.llm.set_join import near_duplicates
 from enclosa.llm.substring_dedup import removals
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,70 +27,55 @@ WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (``und``) go, and those whose two nearest codewords cannot be told apart."""
-    found = language_id(docs, fit(docs), extra=["lang", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select(*COLUMNS)
-
-
-def with_rows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with ``row``, one number for each different (doc_id, text), and the (row, own) whose row is not their doc_id ``own``.
+    """Documents without a letter (``und``: null and empty texts too) go, and those whose two nearest codewords cannot be told apart.
 
-    The row is the doc_id; rows without one, and all but one of the different
-    texts of a repeated one, are numbered after the greatest doc_id.  These are
-    told apart by a 64-bit hash.
+    Rows are judged one by one, repeated ones and those without doc_id as well.
     """
-    shared = Shared(spark, "rows")
-    h = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    ids = docs.select("doc_id", h.alias("h"))
-    seen = ids.groupBy("doc_id").agg(F.min("h").alias("first"), F.max("h").alias("last"))
-    seen = shared.keep(seen.where("doc_id IS NULL OR first < last"), "repeated")
-    if seen.isEmpty():
-        return docs.withColumn("row", F.col("doc_id")), None
-    hint = F.broadcast if seen.count() <= BROADCAST else lambda d: d
-    odd = ids.join(hint(seen), ids["doc_id"].eqNullSafe(seen["doc_id"])).where(ids["doc_id"].isNull() | (F.col("h") > F.col("first"))).select(ids["doc_id"], "h").distinct().orderBy("h", "doc_id")
-    top = docs.agg(F.max("doc_id")).first()[0]
-    start = 0 if top is None else top + 1
-    odd = shared.keep(spark.createDataFrame(odd.rdd.zipWithIndex().map(lambda x: (x[0][1], start + x[1], x[0][0])), "h long, row long, own long"), "numbers")
-    hint = F.broadcast if odd.count() <= BROADCAST else lambda d: d
-    d = docs.withColumn("h", h).join(hint(odd.withColumnRenamed("h", "oh")), (F.col("h") == F.col("oh")) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
-    return d.withColumn("row", F.coalesce("row", "doc_id")).drop("h", "oh", "own"), odd.select("row", "own")
+    found = language_id(docs, fit(docs), extra=["lang", "source", "n_chars"])
+    return found.where((F.col("lang_pred") != UND) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each component of near duplicates stays, once.
 
-    Rows without doc_id and further texts of a repeated one come after all others.
+    Rows without doc_id and further texts of a repeated one come after all
+    others.  Of rows that repeat a doc_id and its text one stays.  Null and empty
+    texts are near nothing and stay.
     """
     rows, _ = with_rows(spark, docs)
-    stays = near_duplicates(rows, key="row", n=WORDS, percent=PERCENT).where("doc_id = component_id").select(F.col("doc_id").alias("row")).distinct()
-    left = rows.join(stays, "row", "left_semi")
-    return left.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
+    shared = Shared(spark, "near-duplicates")
+    near = near_duplicates(rows, key="row", n=WORDS, percent=PERCENT).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    near = shared.keep(near.select(F.col("doc_id").alias("row"), "n"), "stays")
+    left = rows.join(small(near), "row")
+    if near.where("n > 1").isEmpty():
+        return left.select(*COLUMNS)
+    again = left.where("n > 1").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
+    return left.where("n = 1").select(*COLUMNS).unionByName(again)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes and more that stand earlier in the corpus are cut out; a document that has nothing else goes."""
+    """Passages of 100 bytes and more that stand earlier in the corpus are cut out; a document that has nothing else goes.
+
+    Rows without doc_id come after all others.  A null text becomes an empty one and stays, as nothing is cut from it.
+    """
     rows, _ = with_rows(spark, docs)
-    cut = removals(rows.withColumnRenamed("doc_id", "own"), key="row", text_out=True, extra=["own", "lang", "source", "n_chars"])
+    cut = removals(rows.withColumnRenamed("doc_id", "own"), key="row", text_out=True, extra=["own", "lang", "source", "n_chars"], unique=True)
     left = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     cut = cut.where("n_removed = 0 OR trim(text) <> ''").withColumn("n_chars", left)
     return cut.select(F.col("own").alias("doc_id"), *COLUMNS[1:])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of the benchmark go."""
+    """Documents that contain an item of the benchmark go, whichever rows have them; null and empty texts contain none."""
     rows, _ = with_rows(spark, docs)
     found = leaks(rows, table(spark, sf_dir, "benchmark"), key="row").select(F.col("doc_id").alias("row")).distinct()
-    return rows.join(found, "row", "left_anti").select(*COLUMNS)
+    found = Shared(spark, "leaks").keep(found, "found")
+    return rows.join(small(found), "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document, each with its sequence and offset."""
-    rows, odd = with_rows(spark, docs)
-    packed = pack_documents(rows, vocabulary(), key="row").withColumnRenamed("row", "doc_id")
-    if odd is None:
-        return packed
-    own = F.when(F.col("row").isNotNull(), F.col("own")).otherwise(F.col("doc_id")).alias("doc_id")
-    return packed.join(odd, F.col("doc_id") == F.col("row"), "left").select(own, *packed.columns[1:])
+    """The pieces of every document, each with its sequence and offset; null and empty texts are one separator, repeated rows are packed one by one."""
+    return pack_documents(docs, vocabulary())
 
 
 STAGES = [
@@ -102,7 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, shared, kept = table(spark, sf_dir, "documents"), Shared(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        docs = shared.keep(stage(spark, docs, sf_dir), name)
+        if kept is not None:
+            shared.drop(kept)
+        shared.release()
+        kept = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
