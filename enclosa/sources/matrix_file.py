@@ -5,6 +5,10 @@
 one.  load() and save() do both for a Matrix.  A file is written under a
 temporary name and renamed, so it is there whole or not at all.
 
+Tasks read and write elements at their places in the file, as Arrow batches, so
+neither they nor the driver hold a whole matrix.  The checksum is made of stripes
+that are checked on their own and joined; load() has tasks check them.
+
 Paths are on a file system that driver and executors share.
 """
 
@@ -18,8 +22,9 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from enclosa.types import SQL_TYPES, VALUES, FileError, Matrix, throw
 
@@ -49,13 +54,84 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+_CRC_OF = np.array(_CRC, np.uint64)
+#: Lanes of a vectorised checksum, and the bytes of a stripe that is checked at once.
+LANES, STRIPE = 4096, 8 << 20
+
+
+def _applied(op: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A linear map of 64-bit numbers, given by its values at each byte in each of 8 places."""
+    out = np.zeros_like(x)
+    for k in range(8):
+        out ^= op[k][(x >> np.uint64(8 * k)) & np.uint64(255)]
+    return out
+
+
+#: How the checksum changes over 1, 2, 4, ... zero bytes.
+_ZEROS: list[np.ndarray] = []
+
+
+def _after_zeros(n: int, crc: np.ndarray) -> np.ndarray:
+    """Checksums after n further zero bytes: the checksum is linear, so two stripes join by this and an exclusive or."""
+    k = 0
+    while n >> k:
+        if len(_ZEROS) == k:
+            byte = np.arange(256, dtype=np.uint64)
+            if k:
+                _ZEROS.append(np.stack([_applied(_ZEROS[-1], x) for x in _ZEROS[-1]]))
+            else:
+                places = [byte << np.uint64(8 * j) for j in range(8)]
+                _ZEROS.append(np.stack([(x << np.uint64(8)) ^ _CRC_OF[x >> np.uint64(56)] for x in places]))
+        if n >> k & 1:
+            crc = _applied(_ZEROS[k], crc)
+        k += 1
+    return crc
+
+
+def joined(first: int, second: int, length: int) -> int:
+    """The checksum of two stripes one after the other, the second of ``length`` bytes, from the checksums of each."""
+    return int(_after_zeros(length, np.array([first], np.uint64))[0]) ^ second
+
+
 def crc64(data: bytes, crc: int = 0) -> int:
-    """CRC-64, highest bit first, from 0 and without a final exclusive or."""
-    for b in data:
+    """CRC-64, highest bit first, from 0 and without a final exclusive or.
+
+    Long data is cut into LANES stretches that advance together.
+    """
+    short = len(data) % LANES if len(data) >= 4 * LANES else len(data)
+    for b in memoryview(data)[:short]:
         crc = ((crc << 8) & (1 << 64) - 1) ^ _CRC[(crc >> 56) ^ b]
+    if short == len(data):
+        return crc
+    each = (len(data) - short) // LANES
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=short).reshape(LANES, each).T).astype(np.uint64)
+    c = np.zeros(LANES, np.uint64)
+    for row in x:
+        c = (c << np.uint64(8)) ^ _CRC_OF[(c >> np.uint64(56)) ^ row]
+    length = each
+    while len(c) > 1:
+        c = _after_zeros(length, c[0::2]) ^ c[1::2]
+        length *= 2
+    return joined(crc, int(c[0]), length)
+
+
+def stripe_crc(path: str, first: int, last: int) -> int:
+    """The checksum of the bytes first <= k < last of a file."""
+    crc = 0
+    with open(path, "rb") as f:
+        f.seek(first)
+        while first < last:
+            part = f.read(min(last - first, STRIPE))
+            if not part:
+                throw(FileError, path, ": ends early")
+            crc, first = crc64(part, crc), first + len(part)
     return crc
 
 
+def stripes(size: int) -> list[tuple[int, int]]:
+    return [(k, min(size, k + STRIPE)) for k in range(0, size, STRIPE)]
+
+
 def element_type(elem: str) -> np.dtype:
     return np.dtype("<i4") if elem == "int" else np.dtype("<f8")
 
@@ -100,42 +176,63 @@ def header(data: bytes, size: int, path: str) -> Header:
     return Header(elem, rows, cols, payload)
 
 
-def verified(path: str) -> Header:
-    """The header of a portable file whose checksum is right."""
+def opened(path: str) -> tuple[Header, int]:
+    """The checked header of a portable file and its size."""
     try:
         size = os.path.getsize(path)
         with open(path, "rb") as f:
-            h = header(f.read(_HEADER.size), size, path)
-            f.seek(0)
-            left, crc = size - 8, 0
-            while left:
-                part = f.read(min(left, 1 << 20))
-                crc, left = crc64(part, crc), left - len(part)
-            if struct.unpack("<Q", f.read(8))[0] != crc:
-                throw(FileError, path, ": wrong checksum")
-            return h
+            return header(f.read(_HEADER.size), size, path), size
     except OSError as e:
         raise FileError(f"{path}: {e}") from None
 
 
+def verified(path: str, spark: SparkSession | None = None) -> Header:
+    """The header of a portable file whose checksum is right; with ``spark``, tasks check the stripes."""
+    h, size = opened(path)
+    cut = stripes(size - 8)
+    if spark is None or len(cut) < 2:
+        found = [stripe_crc(path, *x) for x in cut]
+    else:
+        def part(batches):
+            for b in batches:
+                k = b.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stripe_crc(path, *cut[i]) for i in k.tolist()], pa.uint64()).view(pa.int64())], ["id", "crc"])
+
+        rows = spark.range(0, len(cut), 1, len(cut)).mapInArrow(part, "id long, crc long").collect()
+        found = [r["crc"] % 2**64 for r in sorted(rows)]
+    crc = 0
+    for (lo, hi), own in zip(cut, found, strict=True):
+        crc = joined(crc, own, hi - lo)
+    with open(path, "rb") as f:
+        f.seek(size - 8)
+        if struct.unpack("<Q", f.read(8))[0] != crc:
+            throw(FileError, path, ": wrong checksum")
+    return h
+
+
 def legacy(cells: np.ndarray, elem: str) -> bytes:
     """Tag, two native ints, elements in rows."""
     rows, cols = cells.shape[:2]
     return TAGS[elem] + struct.pack("=ii", rows, cols) + np.ascontiguousarray(cells).astype(element_type(elem).newbyteorder("=")).tobytes()
 
 
-def legacy_cells(data: bytes, elem: str, path: str) -> np.ndarray:
+def legacy_shape(path: str, elem: str) -> tuple[int, int]:
+    """Rows and columns of a legacy file whose tag, size and length are right."""
     tag = TAGS[elem]
+    try:
+        size = os.path.getsize(path)
+        with open(path, "rb") as f:
+            data = f.read(len(tag) + 8)
+    except OSError as e:
+        raise FileError(f"{path}: {e}") from None
     if data[: len(tag)] != tag:
         throw(FileError, path, ": not a file of ", elem, " elements")
     if len(data) < len(tag) + 8:
         throw(FileError, path, ": no size")
     rows, cols = struct.unpack_from("=ii", data, len(tag))
-    need = rows * cols * element_bytes(elem)
-    if rows < 0 or cols < 0 or len(data) < len(tag) + 8 + need:
+    if rows < 0 or cols < 0 or size < len(tag) + 8 + rows * cols * element_bytes(elem):
         throw(FileError, path, ": wrong size ", rows, " x ", cols)
-    flat = np.frombuffer(data, element_type(elem).newbyteorder("="), rows * cols * len(VALUES[elem]), len(tag) + 8)
-    return flat.reshape(rows, cols, len(VALUES[elem]))
+    return rows, cols
 
 
 def _schema(elem: str) -> str:
@@ -143,88 +240,110 @@ def _schema(elem: str) -> str:
 
 
 @dataclasses.dataclass
-class _Columns(InputPartition):
+class _Lines(InputPartition):
+    """Columns of a portable file or rows of a legacy one, first <= k < last."""
+
     first: int
     last: int
 
 
 class _Reader(DataSourceReader):
-    """One partition for each stripe of columns of a portable file; a legacy file is one partition."""
+    """One partition for each stripe of a file's lines."""
 
-    STRIPE = 1 << 20
+    CELLS = 1 << 20
+    BATCH = 1 << 16
 
-    def __init__(self, path: str, kind: str, elem: str):
-        self.path, self.kind, self.elem = path, kind, elem
+    def __init__(self, path: str, kind: str, elem: str, checked: bool):
+        self.path, self.kind, self.elem, self.checked = path, kind, elem, checked
 
-    def partitions(self) -> list[InputPartition]:
+    def _layout(self) -> tuple[int, int, int]:
+        """Lines, elements of a line, and where they begin."""
         if self.kind == "legacy":
-            return [_Columns(0, -1)]
-        h = verified(self.path)
-        step = max(1, self.STRIPE // max(1, h.rows))
-        return [_Columns(k, min(h.cols, k + step)) for k in range(0, h.cols, step)] or [_Columns(0, 0)]
+            rows, cols = legacy_shape(self.path, self.elem)
+            return rows, cols, len(TAGS[self.elem]) + 8
+        h = opened(self.path)[0]
+        return h.cols, h.rows, h.start
 
-    def read(self, part: InputPartition) -> Iterator[tuple]:
-        kind = int if self.elem == "int" else float
-        if self.kind == "legacy":
-            cells = legacy_cells(Path(self.path).read_bytes(), self.elem, self.path)
-            for i in range(cells.shape[0]):
-                for j in range(cells.shape[1]):
-                    yield (i, j, *map(kind, cells[i, j]))
-            return
+    def partitions(self) -> list[InputPartition]:
+        if self.kind != "legacy" and not self.checked:
+            verified(self.path)
+        lines, each, _ = self._layout()
+        step = max(1, self.CELLS // max(1, each))
+        return [_Lines(k, min(lines, k + step)) for k in range(0, lines, step)] or [_Lines(0, 0)]
+
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+        _, each, start = self._layout()
+        kind, n = element_type(self.elem), len(VALUES[self.elem])
         with open(self.path, "rb") as f:
-            h = header(f.read(_HEADER.size), os.path.getsize(self.path), self.path)
-            width = h.rows * element_bytes(h.elem)
-            f.seek(h.start + part.first * width)
-            for j in range(part.first, part.last):
-                column = np.frombuffer(f.read(width), element_type(h.elem)).reshape(h.rows, -1)
-                for i in range(h.rows):
-                    yield (i, j, *map(kind, column[i]))
+            f.seek(start + part.first * each * element_bytes(self.elem))
+            at, end = part.first * each, part.last * each
+            while at < end:
+                m = min(self.BATCH, end - at)
+                cells = np.frombuffer(f.read(m * element_bytes(self.elem)), kind).reshape(m, n)
+                line, place = np.divmod(np.arange(at, at + m), each)
+                i, j = (line, place) if self.kind == "legacy" else (place, line)
+                columns = [pa.array(x.astype(np.int32)) for x in (i, j)] + [pa.array(np.ascontiguousarray(cells[:, k])) for k in range(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["i", "j", *VALUES[self.elem]])
+                at += m
 
 
 @dataclasses.dataclass
-class _Part(WriterCommitMessage):
-    file: str
+class _Written(WriterCommitMessage):
+    elements: int
+
 
+class _Writer(DataSourceArrowWriter):
+    """Tasks write their elements at their places in a file beside the target; commit adds the checksum and renames it.
 
-class _Writer(DataSourceWriter):
-    """Tasks write their elements beside the target; commit puts them in order, writes the file and renames it."""
+    A task that is repeated writes the same elements once more.
+    """
 
     def __init__(self, path: str, kind: str, elem: str, rows: int, cols: int, overwrite: bool):
         self.path, self.kind, self.elem, self.rows, self.cols = path, kind, elem, rows, cols
-        self.job = uuid.uuid4().hex
+        if elem not in TYPES:
+            raise FileError(f"no file holds {elem} elements")
         if os.path.exists(path) and not overwrite:
             raise FileError(f"{path} exists")
+        self.whole = f"{path}.{uuid.uuid4().hex}.tmp"
+        self.payload = rows * cols * element_bytes(elem)
+        head = TAGS[elem] + struct.pack("=ii", rows, cols) if kind == "legacy" else _HEADER.pack(MAGIC, VERSION, TYPES[elem], COLUMN_MAJOR, 0, rows, cols, self.payload)
+        self.start = len(head)
+        with open(self.whole, "wb") as f:
+            f.write(head)
+            f.truncate(self.start + self.payload)
 
     def write(self, iterator) -> WriterCommitMessage:
-        n = len(VALUES[self.elem])
-        kind = np.dtype([("i", "<i4"), ("j", "<i4"), ("v", element_type(self.elem), (n,))])
-        rows = np.array([(r["i"], r["j"], tuple(r[c] for c in VALUES[self.elem])) for r in iterator], kind)
-        file = f"{self.path}.{self.job}.{uuid.uuid4().hex}.tmp"
-        Path(file).write_bytes(rows.tobytes())
-        return _Part(file)
+        n, kind, seen = len(VALUES[self.elem]), element_type(self.elem), 0
+        with open(self.whole, "r+b") as f:
+            for b in iterator:
+                i, j = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in "ij")
+                if len(i) and (i.min() < 0 or j.min() < 0 or i.max() >= self.rows or j.max() >= self.cols):
+                    raise FileError(f"an element outside {self.rows} x {self.cols}")
+                place = i * self.cols + j if self.kind == "legacy" else j * self.rows + i
+                cells = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(kind) for c in VALUES[self.elem]], 1).reshape(len(i), n)
+                o = np.argsort(place, kind="stable")
+                place, cells, seen = place[o], cells[o], seen + len(o)
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1, [True]])) if len(o) else np.zeros(1, np.int64)
+                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    f.seek(self.start + int(place[lo]) * element_bytes(self.elem))
+                    f.write(cells[lo:hi].tobytes())
+        return _Written(seen)
 
     def commit(self, messages) -> None:
-        n = len(VALUES[self.elem])
-        kind = np.dtype([("i", "<i4"), ("j", "<i4"), ("v", element_type(self.elem), (n,))])
-        cells = np.zeros((self.rows, self.cols, n), element_type(self.elem))
-        seen = 0
-        for m in messages:
-            if m is not None:
-                x = np.frombuffer(Path(m.file).read_bytes(), kind)
-                cells[x["i"], x["j"]] = x["v"]
-                seen += len(x)
+        seen = sum(m.elements for m in messages if m is not None)
         if seen != self.rows * self.cols:
             self.abort(messages)
             raise FileError(f"{seen} elements for {self.rows} x {self.cols}")
-        whole = f"{self.path}.{self.job}.tmp"
-        Path(whole).write_bytes((legacy if self.kind == "legacy" else portable)(cells, self.elem))
-        os.replace(whole, self.path)
-        self.abort(messages)
+        if self.kind != "legacy":
+            size = self.start + self.payload
+            with open(self.whole, "r+b") as f:
+                f.seek(size)
+                f.write(struct.pack("<Q", stripe_crc(self.whole, 0, size)))
+        os.replace(self.whole, self.path)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.file):
-                os.remove(m.file)
+        if os.path.exists(self.whole):
+            os.remove(self.whole)
 
 
 class MatrixFile(DataSource):
@@ -241,13 +360,13 @@ class MatrixFile(DataSource):
         return path.removeprefix("file://")
 
     def _elem(self) -> str:
-        return self.options.get("elem") or verified(self._path()).elem
+        return self.options.get("elem") or opened(self._path())[0].elem
 
     def schema(self) -> str:
         return _schema(self._elem())
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self._path(), self.KIND, self._elem())
+        return _Reader(self._path(), self.KIND, self._elem(), self.options.get("checked") == "true")
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self._path(), self.KIND, self.options.get("elem") or "double", int(self.options["rows"]), int(self.options["cols"]), overwrite)
@@ -285,14 +404,11 @@ def load(spark: SparkSession, path: str | Path, elem: str | None = None, kind: s
     if kind == "legacy":
         elem = elem or "double"
         path = f"{path}{ENDINGS[elem]}"
-        try:
-            shape = legacy_cells(Path(path).read_bytes(), elem, path).shape[:2]
-        except OSError as e:
-            raise FileError(f"{path}: {e}") from None
+        shape = legacy_shape(path, elem)
     else:
-        h = verified(str(path))
+        h = verified(str(path), spark)
         if elem is not None and elem != h.elem:
             raise FileError(f"{path}: {h.elem} elements in place of {elem}")
         elem, shape = h.elem, (h.rows, h.cols)
-    df = spark.read.format("matbin_legacy" if kind == "legacy" else "matbin").option("elem", elem).load(str(path))
+    df = spark.read.format("matbin_legacy" if kind == "legacy" else "matbin").option("elem", elem).option("checked", "true").load(str(path))
     return Matrix(df.select("i", "j", *VALUES[elem]), *shape, elem)

@@ -354,6 +354,36 @@ def test_file_writer_and_checks(spark, tmp_path):
     assert mf.crc64(b"") == 0 and mf.crc64(b"123456789") == 0x6C40DF5F0B497347
 
 
+def test_checksums_of_stripes_join(monkeypatch, tmp_path, spark):
+    def slow(data, crc=0):
+        for b in data:
+            crc = ((crc << 8) & (1 << 64) - 1) ^ mf._CRC[(crc >> 56) ^ b]
+        return crc
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 4095, 4 * 4096 - 1, 4 * 4096, 4 * 4096 + 7, 100_003):
+        x = rng.bytes(n)
+        assert mf.crc64(x) == slow(x)
+        assert mf.joined(slow(x[: n // 3]), slow(x[n // 3 :]), n - n // 3) == slow(x)
+    monkeypatch.setattr(mf, "STRIPE", 1000)
+    x = rng.normal(size=(70, 9, 1))
+    (tmp_path / "m").write_bytes(mf.portable(x, "double"))
+    assert mf.verified(str(tmp_path / "m"), spark) == mf.verified(str(tmp_path / "m"))
+    bad = bytearray((tmp_path / "m").read_bytes())
+    bad[3333] ^= 1
+    (tmp_path / "m").write_bytes(bad)
+    with pytest.raises(FileError, match="checksum"):
+        mf.verified(str(tmp_path / "m"), spark)
+
+
+def test_files_refuse_elements_outside(spark, tmp_path):
+    mf.register(spark)
+    d = spark.createDataFrame([(0, 0, 1.0), (0, 5, 2.0)], "i int, j int, v double")
+    with pytest.raises(Exception, match="outside"):
+        d.write.format("matbin").option("elem", "double").option("rows", 1).option("cols", 2).mode("overwrite").save(str(tmp_path / "x"))
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_grid_query_counts_its_nodes(spark, monkeypatch):
     from enclosa.operators import legendre
     from enclosa.plans import queries
