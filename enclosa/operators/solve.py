@@ -208,8 +208,15 @@ def _size(m: Matrix) -> float:
     return float(r or 0.0)
 
 
+# Fixed values of the iterations' ends: a correction of this size relative to x
+# is below double-double rounding, one that has not fallen to this share of the
+# last no longer converges; and units of rounding of double-double numbers.
+BELOW_ROUNDING, FALLING = 0.25e-32, 0.5
+HYBRID_UNITS, DD_UNIT = 256, 2.0**-104
+
+
 def dd_solve(a: Matrix, b: Matrix, steps: int = 10) -> Matrix:
-    """Double solutions of exact residuals, added up until they are below 0.25e-32 of x or stop halving."""
+    """Double solutions of exact residuals, added up until they are below BELOW_ROUNDING of x or stop falling."""
     _check_system(a, b)
     if a.by:
         raise StateError("the double-double solver takes one matrix")
@@ -220,7 +227,7 @@ def dd_solve(a: Matrix, b: Matrix, steps: int = 10) -> Matrix:
         d = settled(matmul(near, mapped(r, lambda v: (v[0],), "double")))
         x = settled(add(x, convert(d, "dd")))
         size, own = float(d.df.agg(F.max(F.abs("v"))).first()[0] or 0.0), _size(x)
-        if size == 0 or size <= 0.25e-32 * own or size >= 0.5 * before:
+        if size == 0 or size <= BELOW_ROUNDING * own or size >= FALLING * before:
             break
         before = size
         r = settled(subtract(b, matmul(a, x)))
@@ -228,7 +235,7 @@ def dd_solve(a: Matrix, b: Matrix, steps: int = 10) -> Matrix:
 
 
 def hybrid_solve(a: Matrix, b: Matrix, steps: int = 50) -> Matrix:
-    """A double inverse as preconditioner and double-double residuals, until their solution is within 256 units of rounding of x."""
+    """A double inverse as preconditioner and double-double residuals, until their solution is within HYBRID_UNITS of x."""
     _check_system(a, b)
     near = settled(convert(inverse(mapped(a, lambda v: (v[0],), "double")), "dd"))
     x = settled(matmul(near, b))
@@ -236,7 +243,7 @@ def hybrid_solve(a: Matrix, b: Matrix, steps: int = 50) -> Matrix:
         d = settled(matmul(near, subtract(matmul(a, x), b)))
         x = settled(subtract(x, d))
         size = d.df.where("j = 0").agg(F.max(F.abs("hi"))).first()[0]
-        if not size or size <= 256 * 2.0**-104 * x.df.where("j = 0").agg(F.max(F.abs("hi"))).first()[0]:
+        if not size or size <= HYBRID_UNITS * DD_UNIT * x.df.where("j = 0").agg(F.max(F.abs("hi"))).first()[0]:
             break
     return x
 

@@ -160,6 +160,23 @@ def b09_element(spark, sf_dir):
     return embeddings(spark, sf_dir).at(3, 5).select("v")
 
 
+@query(f"WITH {E} SELECT 0 AS n_rows, 0 AS n_cols, 'N' AS kind, count(*) AS elements FROM e WHERE false")
+def b06_clear(spark, sf_dir):
+    a = embeddings(spark, sf_dir).clear()
+    return a.df.agg(F.count("*").alias("elements")).select(F.lit(a.rows).alias("n_rows"), F.lit(a.cols).alias("n_cols"), F.lit(a.kind).alias("kind"), "elements")
+
+
+@query("SELECT 16807 AS power, true AS guarded")
+def c26_checked_power(spark, sf_dir):
+    """7^5, and whether a power beyond the range of an int is refused."""
+    try:
+        legendre.checked_power(10, 12)
+        guarded = False
+    except Exception:
+        guarded = True
+    return spark.createDataFrame([(legendre.checked_power(7, 5), guarded)], "power int, guarded boolean")
+
+
 @query()
 def b04_randn(spark, sf_dir):
     return build.randn(spark, 50, 40, seed=7).df
@@ -240,16 +257,24 @@ def d03_outer(spark, sf_dir):
     return product.outer(c, reshape.transpose(c)).df
 
 
-@query(f"WITH {E} SELECT x.j AS i, y.j AS j, round(sum(CAST(x.v AS DECIMAL(38, 15)) * 1.0::DOUBLE * y.v), 6) AS v FROM e x JOIN e y ON x.i = y.i GROUP BY x.j, y.j")
+def _precise(d: Matrix, a: Matrix, b: Matrix, digits: int) -> DataFrame:
+    """A double-double product to some digits, and whether it is the exact one to 26 digits, which a double is not."""
+    a, b = (elementwise.mapped(m, lambda x: (x[0], x[0]), "interval") for m in (a, b))
+    z = d.df.join(_exact_ends(a, b).select("i", "j", "low"), ["i", "j"]).withColumn("off", X.dd_add((F.col("hi"), F.col("lo")), (-F.col("low.hi"), -F.col("low.lo"))))
+    return z.select("i", "j", F.round("hi", digits).alias("v"), (F.abs("off.hi") <= 1e-26 * (1 + F.abs("hi"))).alias("precise"))
+
+
+@query(f"WITH {E} SELECT x.j AS i, y.j AS j, round(sum(CAST(x.v AS DECIMAL(38, 15)) * 1.0::DOUBLE * y.v), 6) AS v, true AS precise FROM e x JOIN e y ON x.i = y.i GROUP BY x.j, y.j")
 def d07_dd_gram(spark, sf_dir):
-    d = product.gram(elementwise.convert(embeddings(spark, sf_dir), "dd")).df
-    return d.select("i", "j", F.round("hi", 6).alias("v"))
+    a = embeddings(spark, sf_dir)
+    return _precise(product.gram(elementwise.convert(a, "dd")), reshape.transpose(a), a, 6)
 
 
-@query(f"WITH {E} SELECT i, 0::INT AS j, round(sum(v), 7) AS v FROM e GROUP BY i")
+@query(f"WITH {E} SELECT i, 0::INT AS j, round(sum(v), 7) AS v, true AS precise FROM e GROUP BY i")
 def d06_dd_product(spark, sf_dir):
-    a = elementwise.convert(embeddings(spark, sf_dir), "dd")
-    return product.matmul(a, build.ones(spark, 64, elem="dd")).df.select("i", "j", F.round("hi", 7).alias("v"))
+    a = embeddings(spark, sf_dir)
+    one = build.ones(spark, 64)
+    return _precise(product.matmul(elementwise.convert(a, "dd"), elementwise.convert(one, "dd")), a, one, 7)
 
 
 _P = [f"x.{p} * y.{q}" for p in ("lo", "hi") for q in ("lo", "hi")]
@@ -266,32 +291,74 @@ def d09_interval_matmul(spark, sf_dir):
     return product.matmul(reshape.transpose(a), a).df
 
 
-@query()
+def _exact_ends(a: Matrix, b: Matrix, square: bool = False) -> DataFrame:
+    """(i, j, low, high): the ends of the exact product of interval matrices as double-doubles, from error-free products.
+
+    With ``square`` the diagonal is of squares, as in a Gram matrix.
+    """
+    d = product._joined(a, b)
+    pair = lambda p, q: (lambda z: F.struct(z[0].alias("hi"), z[1].alias("lo")))(X.two_prod(F.col(p), F.col(q)))
+    ends = F.sort_array(F.array(*[pair(p, q) for p in ("lo", "hi") for q in ("lo_b", "hi_b")]))
+    low, high = F.get(ends, F.lit(0)), F.get(ends, F.lit(3))
+    if square:
+        own = F.sort_array(F.array(pair("lo", "lo_b"), pair("hi", "hi_b")))
+        zero = F.struct(F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"))
+        low = F.when(F.col("i") != F.col("j"), low).when((F.col("lo") <= 0) & (F.col("hi") >= 0), zero).otherwise(F.get(own, F.lit(0)))
+        high = F.when(F.col("i") != F.col("j"), high).otherwise(F.get(own, F.lit(1)))
+    d = d.select("i", "j", F.struct("k", low.alias("x")).alias("low"), F.struct("k", high.alias("x")).alias("high"))
+    d = d.groupBy("i", "j").agg(*[X.dd_sum(F.transform(F.sort_array(F.collect_list(c)), lambda z: z["x"])).alias(c) for c in ("low", "high")])
+    return d
+
+
+def _enclosed(e: Matrix, a: Matrix, b: Matrix, square: bool = False, width: float | None = 1e-9) -> DataFrame:
+    """The enclosure ``e`` of a * b to five digits, whether it holds the exact product, and whether it is at most ``width`` wider at either end."""
+    d = e.df.join(_exact_ends(a, b, square), ["i", "j"])
+    holds = (F.col("lo") < F.col("low.hi")) | ((F.col("lo") == F.col("low.hi")) & (F.col("low.lo") >= 0))
+    holds &= (F.col("hi") > F.col("high.hi")) | ((F.col("hi") == F.col("high.hi")) & (F.col("high.lo") <= 0))
+    narrow = F.lit(True) if width is None else (F.col("low.hi") - F.col("lo") <= width) & (F.col("hi") - F.col("high.hi") <= width)
+    return d.select("i", "j", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), holds.alias("holds"), narrow.alias("narrow"))
+
+
+def _ends(low: str, high: str, source: str) -> str:
+    return f"WITH {E}, {I} SELECT x.j AS i, y.j AS j, round(sum({low}), 5) AS lo, round(sum({high}), 5) AS hi, true AS holds, true AS narrow FROM {source} GROUP BY x.j, y.j"
+
+
+@query(_ends("least(x.v * y.lo, x.v * y.hi)", "greatest(x.v * y.lo, x.v * y.hi)", "e x JOIN iv y ON x.i = y.i"))
 def d08_mixed_product(spark, sf_dir):
     a = embeddings(spark, sf_dir)
-    return product.mixed_product(reshape.transpose(a), blurred(a), "fast").df
+    t, b = reshape.transpose(a), blurred(a)
+    return _enclosed(product.mixed_product(t, b, "fast"), elementwise.convert(t, "interval"), b)
 
 
-@query()
+_SPREAD = "((abs(x.v) + 0.125) * 0.125 + 0.125 * abs(y.v))"
+
+
+@query(_ends(f"x.v * y.v - {_SPREAD}", f"x.v * y.v + {_SPREAD}", "e x JOIN e y ON x.i = y.i"))
 def d10_mid_rad_product(spark, sf_dir):
     a = blurred(embeddings(spark, sf_dir))
-    return product.mid_rad_product(reshape.transpose(a), a).df
+    return _enclosed(product.mid_rad_product(reshape.transpose(a), a), reshape.transpose(a), a, width=None)
 
 
-@query()
+@query(_ends(f"least({', '.join(_P)})", f"greatest({', '.join(_P)})", "iv x JOIN iv y ON x.i = y.i"))
 def d11_fma_product(spark, sf_dir):
     a = blurred(embeddings(spark, sf_dir))
-    return product.fma_product(reshape.transpose(a), a).df
+    return _enclosed(product.fma_product(reshape.transpose(a), a), reshape.transpose(a), a)
 
 
-@query()
+_SQUARE = "CASE WHEN x.lo <= 0 AND x.hi >= 0 THEN 0.0 ELSE least(x.lo * x.lo, x.hi * x.hi) END"
+
+
+@query(_ends(f"CASE WHEN x.j = y.j THEN {_SQUARE} ELSE least({', '.join(_P)}) END", f"greatest({', '.join(_P)})", "iv x JOIN iv y ON x.i = y.i"))
 def d12_interval_gram(spark, sf_dir):
-    return product.gram(blurred(embeddings(spark, sf_dir))).df
+    a = blurred(embeddings(spark, sf_dir))
+    return _enclosed(product.gram(a), reshape.transpose(a), a, square=True)
 
 
-@query()
+@query(_ends("x.v * y.v", "x.v * y.v", "e x JOIN e y ON x.i = y.i"))
 def d12_verified_gram(spark, sf_dir):
-    return product.verified_gram(embeddings(spark, sf_dir)).df
+    a = embeddings(spark, sf_dir)
+    p = elementwise.convert(a, "interval")
+    return _enclosed(product.verified_gram(a), reshape.transpose(p), p)
 
 
 @query(f"WITH {E}, {I} SELECT iv.i, iv.j, {_dn('iv.lo + e.v')} AS lo, {_up('iv.hi + e.v')} AS hi FROM iv JOIN e ON iv.i = e.i AND iv.j = e.j")
@@ -300,10 +367,11 @@ def d13_add_point(spark, sf_dir):
     return reductions.add_point(blurred(a), a).df
 
 
-@query()
+@query(_ends("least(x.lo * y.v, x.hi * y.v)", "greatest(x.lo * y.v, x.hi * y.v)", "iv x JOIN e y ON x.i = y.i"))
 def d14_point_interval(spark, sf_dir):
     a = embeddings(spark, sf_dir)
-    return product.mixed_product(reshape.transpose(blurred(a)), a, "fast").df
+    t = reshape.transpose(blurred(a))
+    return _enclosed(product.mixed_product(t, a, "fast"), t, elementwise.convert(a, "interval"))
 
 
 @query(f"WITH {E}, t AS (SELECT x.j AS i, y.j AS j, x.i AS k, x.v * y.v AS p FROM e x JOIN e y ON x.i = y.i) SELECT i, j, list_reduce(list_prepend(0.0::DOUBLE, list(p ORDER BY k)), lambda z, x: {_up('z + ' + _up('x'))}) AS v FROM t GROUP BY i, j")
@@ -328,7 +396,10 @@ _of_embeddings("e05_norm_inf", reductions.norm_inf, f"SELECT 0::INT AS i, 0::INT
 _of_embeddings("e06_norm_two_vector", lambda a: reductions.norm_two(reshape.submatrix(a, (), (3,))), f"SELECT 0::INT AS i, 0::INT AS j, sqrt({_fold('v * v', 'i')}) AS v FROM e WHERE j = 3")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, {GRAM_TERMS}, m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)),
+p(k, x) AS (SELECT 0, list_transform(range(64), lambda z: 1.0::DOUBLE + z / 64.0::DOUBLE) UNION ALL
+  SELECT k + 1, (SELECT list_transform(y, lambda z: z / sqrt(list_dot_product(y, y))) FROM (SELECT list_transform(m.m, lambda r: list_dot_product(r, p.x)) AS y FROM m)) FROM p WHERE k < 4000)
+SELECT 0::INT AS i, 0::INT AS j, round(sqrt(list_dot_product(x, list_transform(m.m, lambda r: list_dot_product(r, x)))), 6) AS v FROM p, m WHERE k = 4000""")
 def e06_norm_two_matrix(spark, sf_dir):
     return _digits(reductions.norm_two(embeddings(spark, sf_dir), "fast").df, 6, "v")
 
@@ -346,9 +417,16 @@ _of_intervals("e10_radius", reductions.radius, f"greatest({_up(f'hi - {_MID}')},
 _of_embeddings("e11_interval", reductions.interval, "SELECT i, j, v AS lo, v AS hi FROM e")
 
 
-@query()
+@query(f"WITH {E} SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v), 5) AS lo, round(sum(x.v * y.v), 5) AS hi, true AS holds, true AS narrow, true AS mirrored FROM e x JOIN e y ON x.i = y.i GROUP BY x.j, y.j")
 def e12_symmetrised(spark, sf_dir):
-    return reductions.symmetrised(product.verified_gram(embeddings(spark, sf_dir), "fast")).df
+    """The enclosed Gram matrix, one of whose halves is widened before: the intersection has the narrower ends on both sides."""
+    a = embeddings(spark, sf_dir)
+    p = elementwise.convert(a, "interval")
+    g = product.verified_gram(a, "fast")
+    wide = F.when(F.col("i") < F.col("j"), 0.5).otherwise(0.0)
+    s = reductions.symmetrised(g.like(g.df.select("i", "j", (F.col("lo") - wide).alias("lo"), (F.col("hi") + wide).alias("hi"))))
+    same = s.df.join(s.df.toDF("j", "i", "lo_t", "hi_t"), ["i", "j"]).select("i", "j", ((F.col("lo") == F.col("lo_t")) & (F.col("hi") == F.col("hi_t"))).alias("mirrored"))
+    return _enclosed(s, reshape.transpose(p), p).join(same, ["i", "j"])
 
 
 @query("""
@@ -479,46 +557,99 @@ def f16_generalised_eigenvalues(spark, sf_dir):
     return solve.eigsymge(a, weight)[0].df.where("i = j").select("g", "i", F.round("v", 6).alias("v"))
 
 
-@query(f"WITH s AS ({COV}) SELECT g, i::INT AS i, true AS holds FROM s, (SELECT unnest([0, 1]) AS i)")
+def _exactly(d: DataFrame, closed: Column) -> Column:
+    """Whether the interval of a row holds a double-double number."""
+    return ((F.col("lo") < closed["hi"]) | ((F.col("lo") == closed["hi"]) & (closed["lo"] >= 0))) & ((F.col("hi") > closed["hi"]) | ((F.col("hi") == closed["hi"]) & (closed["lo"] <= 0)))
+
+
+def _dd(c: Column) -> tuple[Column, Column]:
+    return c, F.lit(0.0)
+
+
+def _of(s: Column) -> tuple[Column, Column]:
+    return s["hi"], s["lo"]
+
+
+def _with_eigenvalues(d: DataFrame, a: Column, b: Column, c: Column) -> DataFrame:
+    """``d`` with ``closed``, the i-th eigenvalue of [[a, b], [b, c]] as a double-double."""
+    d = d.withColumn("s", X.dd_add(_dd(a / 2), _dd(c / 2))).withColumn("t", X.dd_add(_dd(a / 2), _dd(-c / 2)))
+    d = d.withColumn("tt", X.dd_mul(_of(F.col("t")), _of(F.col("t")))).withColumn("bb", X.dd_mul(_dd(b), _dd(b))).withColumn("z", X.dd_add(_of(F.col("tt")), _of(F.col("bb"))))
+    d = d.withColumn("r", F.sqrt("z.hi")).withColumn("rr", X.dd_mul(_dd(F.col("r")), _dd(F.col("r")))).withColumn("rest", X.dd_add(_of(F.col("z")), (-F.col("rr.hi"), -F.col("rr.lo"))))
+    d = d.withColumn("root", X.dd_add(_dd(F.col("r")), _dd(X.ieee_div(F.col("rest.hi"), 2 * F.col("r")))))
+    sign = F.when(F.col("i") == 0, -1.0).otherwise(1.0)
+    return d.withColumn("closed", X.dd_add(_of(F.col("s")), (sign * F.col("root.hi"), sign * F.col("root.lo"))))
+
+
+_COV_CELLS = (("a", 0, 0), ("b", 0, 1), ("c", 1, 1))
+
+
+def _cells_of(m: Matrix, cells) -> DataFrame:
+    return m.df.groupBy("g").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(n) for n, i, j in cells])
+
+
+@query(f"WITH s AS ({COV}) SELECT g, i::INT AS i, true AS holds, true AS narrow FROM s, (SELECT unnest([0, 1]) AS i)")
 def f18_verified_eigenvalues(spark, sf_dir):
-    """Whether the enclosure of each eigenvalue holds its closed form."""
+    """Whether the enclosure of each eigenvalue holds its closed form in double-double arithmetic, and is narrow."""
     a = _covariance(spark, sf_dir)
-    e = verify.verified_eigsym(elementwise.convert(a, "interval")).df.where("i = j")
-    s = a.df.groupBy("g").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(n) for n, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 1, 1))])
-    root = F.sqrt((F.col("a") - F.col("c")) * (F.col("a") - F.col("c")) / 4 + F.col("b") * F.col("b"))
-    closed = (F.col("a") + F.col("c")) / 2 + F.when(F.col("i") == 0, -root).otherwise(root)
-    slack = (F.abs("a") + F.abs("c")) * 1e-14
-    return e.join(s, "g").select("g", "i", ((F.col("lo") - slack <= closed) & (closed <= F.col("hi") + slack)).alias("holds"))
+    e = verify.verified_eigsym(elementwise.convert(a, "interval")).df.where("i = j").join(_cells_of(a, _COV_CELLS), "g")
+    d = _with_eigenvalues(e, F.col("a"), F.col("b"), F.col("c"))
+    return d.select("g", "i", _exactly(d, F.col("closed")).alias("holds"), (F.col("hi") - F.col("lo") <= 1e-11 * (F.col("a") + F.col("c"))).alias("narrow"))
 
 
-@query(f"WITH s AS ({COV}) SELECT g, i::INT AS i, true AS ordered FROM s, (SELECT unnest([0, 1]) AS i)")
+@query(f"WITH s AS ({COV}) SELECT g, i::INT AS i, true AS holds, true AS narrow FROM s, (SELECT unnest([0, 1]) AS i)")
 def f19_verified_generalised(spark, sf_dir):
-    a = elementwise.convert(_covariance(spark, sf_dir), "interval")
+    """A x = lambda diag(4, 1) x: the eigenvalues of [[a / 4, b / 2], [b / 2, c]], whose elements are exact."""
+    m = _covariance(spark, sf_dir)
+    a = elementwise.convert(m, "interval")
     one = F.when(F.col("i") == F.col("j"), F.when(F.col("i") == 0, 4.0).otherwise(1.0)).otherwise(0.0)
-    e = verify.verified_eigsymge(a, a.like(a.df.withColumn("lo", one).withColumn("hi", one))).df.where("i = j")
-    return e.select("g", "i", ((F.col("lo") <= F.col("hi")) & (F.col("hi") - F.col("lo") < 1e-8 * (1 + F.abs("hi")))).alias("ordered"))
+    e = verify.verified_eigsymge(a, a.like(a.df.withColumn("lo", one).withColumn("hi", one))).df.where("i = j").join(_cells_of(m, _COV_CELLS), "g")
+    d = _with_eigenvalues(e, F.col("a") / 4, F.col("b") / 2, F.col("c"))
+    return d.select("g", "i", _exactly(d, F.col("closed")).alias("holds"), (F.col("hi") - F.col("lo") <= 1e-11 * (F.col("a") + F.col("c"))).alias("narrow"))
 
 
-@query(f"WITH s AS ({N2}) SELECT g, i::INT AS i, true AS holds FROM s, (SELECT unnest([0, 1]) AS i)")
+@query(f"WITH s AS ({N2}) SELECT g, i::INT AS i, true AS holds, true AS narrow FROM s, (SELECT unnest([0, 1]) AS i)")
 def f06_verified_solve(spark, sf_dir):
-    """Whether the enclosures of each system's solution hold the solution by Cramer's rule."""
+    """Whether the enclosures of each system's solution hold the solution by Cramer's rule in double-double arithmetic, and are narrow."""
     a, b = _normal(spark, sf_dir)
     e = verify.verified_solve(a, b).df
-    n = a.df.unionByName(b.df.withColumn("j", F.lit(2))).groupBy("g").agg(*[F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(c) for c, i, j in (("n", 0, 0), ("x", 0, 1), ("xx", 1, 1), ("y", 0, 2), ("xy", 1, 2))])
-    det = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
-    closed = F.when(F.col("i") == 0, F.col("y") * F.col("xx") - F.col("x") * F.col("xy")).otherwise(F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / det
-    slack = 1e-9 * (1 + F.abs(closed))
-    return e.join(n, "g").select("g", "i", ((F.col("lo") - slack <= closed) & (closed <= F.col("hi") + slack)).alias("holds"))
+    both = a.df.unionByName(b.df.withColumn("j", F.lit(2)))
+    d = e.join(_cells_of(Matrix(both, 2, 3, by=("g",)), (("n", 0, 0), ("x", 0, 1), ("xx", 1, 1), ("y", 0, 2), ("xy", 1, 2))), "g")
 
+    def minor(d: DataFrame, name: str, p: str, q: str, r: str, s: str) -> DataFrame:
+        """p q - r s."""
+        d = d.withColumn("_1", X.dd_mul(_dd(F.col(p)), _dd(F.col(q)))).withColumn("_2", X.dd_mul(_dd(F.col(r)), _dd(F.col(s))))
+        return d.withColumn(name, X.dd_add(_of(F.col("_1")), (-F.col("_2.hi"), -F.col("_2.lo"))))
 
-@query()
+    for name, some in (("det", ("n", "xx", "x", "x")), ("top0", ("y", "xx", "x", "xy")), ("top1", ("n", "xy", "x", "y"))):
+        d = minor(d, name, *some)
+    top = F.when(F.col("i") == 0, F.col("top0")).otherwise(F.col("top1"))
+    d = d.withColumn("top", top).withColumn("closed", X.dd_div(_of(F.col("top")), _of(F.col("det"))))
+    return d.select("g", "i", _exactly(d, F.col("closed")).alias("holds"), (F.col("hi") - F.col("lo") <= 1e-8 * (1 + F.abs("lo"))).alias("narrow"))
+
+
+_INVARIANTS = f"WITH {E}, {GRAM_TERMS} SELECT round(sum(CASE WHEN i = j THEN v ELSE 0.0 END), 5) AS trace, round(sqrt(sum(v * v)), 5) AS frobenius, true AS zeros, true AS similar FROM g"
+
+
+def _invariants(m: Matrix, q: Matrix, a: Matrix, zero: Column) -> DataFrame:
+    """Trace and Frobenius norm, which similarity keeps, whether the elements of ``zero`` vanish, and whether q m q^T is a."""
+    back = product.matmul(q, product.matmul(m, reshape.transpose(q), "fast"), "fast")
+    off = elementwise.subtract(back, a).df.agg(F.max(F.abs("v")).alias("off"))
+    v = F.col("v")
+    d = m.df.agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), v).otherwise(0.0)), 5).alias("trace"), F.sqrt(F.sum(v * v)).alias("size"), F.max(F.when(zero, F.abs(v)).otherwise(0.0)).alias("rest"))
+    d = d.crossJoin(off)  # one row each
+    return d.select("trace", F.round("size", 5).alias("frobenius"), (F.col("rest") <= 1e-10 * F.col("size")).alias("zeros"), (F.col("off") <= 1e-10 * F.col("size")).alias("similar"))
+
+
+@query(_INVARIANTS)
 def f12_tridiagonal(spark, sf_dir):
-    return _digits(solve.tridiagonal(product.gram(embeddings(spark, sf_dir)))[0].df, 6, "v")
+    a = product.gram(embeddings(spark, sf_dir))
+    return _invariants(*solve.tridiagonal(a), a, F.abs(F.col("i") - F.col("j")) > 1)
 
 
-@query()
+@query(_INVARIANTS)
 def f13_hessenberg(spark, sf_dir):
-    return _digits(solve.hessenberg(product.gram(embeddings(spark, sf_dir)))[0].df, 6, "v")
+    a = product.gram(embeddings(spark, sf_dir))
+    return _invariants(*solve.hessenberg(a), a, F.col("i") > F.col("j") + 1)
 
 
 FLAG = "SELECT sum(1.0::DOUBLE) AS n, sum(l_quantity) AS x, sum(l_quantity * l_quantity) AS xx, sum(l_extendedprice) AS y, sum(l_quantity * l_extendedprice) AS xy FROM lineitem"
@@ -534,28 +665,44 @@ def _one_system(spark: SparkSession, sf_dir: str, elem: str) -> tuple[Matrix, Ma
     return elementwise.convert(Matrix(a, 2, 2), elem), elementwise.convert(Matrix(b, 2, 1), elem)
 
 
-_REGR = "SELECT 0::INT AS i, round(regr_intercept(l_extendedprice, l_quantity), 3) AS v FROM lineitem UNION ALL SELECT 1::INT, round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem"
+_REGR = "SELECT 0::INT AS i, round(regr_intercept(l_extendedprice, l_quantity), 3) AS v, true AS precise FROM lineitem UNION ALL SELECT 1::INT, round(regr_slope(l_extendedprice, l_quantity), 3), true FROM lineitem"
+
+
+def _small(most: DataFrame, rest: Matrix, size: Matrix, bound: float) -> DataFrame:
+    """``most`` with whether the residual is within ``bound`` of ``size``: some 1e-16 for a double result."""
+    off = rest.df.agg(F.max(F.abs("hi")).alias("off")).crossJoin(size.df.agg(F.max(F.abs("hi")).alias("size")))  # one row each
+    return most.crossJoin(off.select((F.col("off") <= bound * F.col("size")).alias("precise")))
+
+
+def _solved(spark, sf_dir, f) -> DataFrame:
+    a, b = _one_system(spark, sf_dir, "dd")
+    x = solve.settled(f(a, b))
+    return _small(x.df.select("i", F.round("hi", 3).alias("v")), elementwise.subtract(b, product.matmul(a, x)), b, 1e-24)
 
 
 @query(_REGR)
 def f05_dd_solve(spark, sf_dir):
-    return solve.solve(*_one_system(spark, sf_dir, "dd")).df.select("i", F.round("hi", 3).alias("v"))
+    return _solved(spark, sf_dir, solve.solve)
 
 
 @query(_REGR)
 def f07_hybrid_solve(spark, sf_dir):
-    return solve.hybrid_solve(*_one_system(spark, sf_dir, "dd")).df.select("i", F.round("hi", 3).alias("v"))
+    return _solved(spark, sf_dir, solve.hybrid_solve)
 
 
-@query()
+@query(f"WITH s AS ({FLAG}) SELECT 0::INT AS i, 0::INT AS j, round(sqrt(n), 3) AS v, true AS precise FROM s UNION ALL SELECT 0::INT, 1::INT, round(x / sqrt(n), 3), true FROM s UNION ALL SELECT 1::INT, 0::INT, 0.0::DOUBLE, true FROM s UNION ALL SELECT 1::INT, 1::INT, round(sqrt(xx - x / n * x), 3), true FROM s")
 def f09_dd_cholesky(spark, sf_dir):
-    return solve.dd_cholesky(_one_system(spark, sf_dir, "dd")[0]).df.select("i", "j", F.round("hi", 3).alias("v"))
+    a = _one_system(spark, sf_dir, "dd")[0]
+    u = solve.settled(solve.dd_cholesky(a))
+    return _small(u.df.select("i", "j", (F.round("hi", 3) + 0.0).alias("v")), elementwise.subtract(a, product.matmul(reshape.transpose(u), u)), a, 1e-26)
 
 
-@query()
+@query(f"WITH s AS ({FLAG}) SELECT 0::INT AS i, round((n + xx) / 2 - sqrt((n - xx) * (n - xx) / 4 + x * x), 3) AS v, true AS precise FROM s UNION ALL SELECT 1::INT, round((n + xx) / 2 + sqrt((n - xx) * (n - xx) / 4 + x * x), 3), true FROM s")
 def f17_refined_eigenpairs(spark, sf_dir):
-    e, _ = solve.dd_eigsym(_one_system(spark, sf_dir, "dd")[0])
-    return e.df.where("i = j").select("i", F.round("hi", 3).alias("v"))
+    """Eigenvalues, and whether A V - V E is as small as double-double arithmetic makes it."""
+    a = _one_system(spark, sf_dir, "dd")[0]
+    e, v = map(solve.settled, solve.dd_eigsym(a))
+    return _small(e.df.where("i = j").select("i", F.round("hi", 3).alias("v")), elementwise.subtract(product.matmul(a, v), product.matmul(v, e)), a, 1e-24)
 
 
 @query(f"WITH {E} SELECT i, j, v FROM e")
@@ -620,6 +767,26 @@ def g05_decay(spark, sf_dir):
     return out.where("t > 1 - 1e-9").select("traj", F.round("x", 8).alias("x"))
 
 
+@query("SELECT 4 AS stages, round(1.0, 12) AS weights, round(1.0::DOUBLE / 2, 12) AS first, round(1.0::DOUBLE / 8, 12) AS seventh, true AS consistent")
+def g02_tableau(spark, sf_dir):
+    """Order conditions of three stages, raised to four: sums of b, b c and b c^7, and rows of a that sum to c."""
+    from enclosa.plans.irk import tableau
+
+    a, b, c = map(np.array, tableau(3))
+    sums = [round(float(x), 12) for x in (b.sum(), b @ c, b @ c**7)]
+    return spark.createDataFrame([(len(b), *sums, bool(np.abs(a.sum(1) - c).max() < 1e-14))], "stages int, weights double, first double, seventh double, consistent boolean")
+
+
+@query("WITH s AS (SELECT user_id AS traj, count(*) / (count(*) + 5.0) AS x0 FROM events GROUP BY user_id) SELECT traj, round(x0 / (1 - 0.9 * x0), 6) AS x, true AS refined FROM s")
+def g05_refined(spark, sf_dir):
+    """x' = x^2 in steps that are too long for few Newton steps: they are halved."""
+    starts = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n")).select("user_id", (F.col("n") / (F.col("n") + 5)).alias("x0"))
+    run = ImplicitRungeKutta(lambda t, x: x * x, lambda t, x: np.diag(2 * x), stages=8, tau=0.9, newton_steps=7, t1=0.9)
+    out = run.solve(starts, "user_id", ["x0"])
+    steps = out.groupBy("traj").agg(F.max("step").alias("steps"), F.max("t").alias("t"))
+    return out.join(steps, ["traj", "t"]).select("traj", F.round("x", 6).alias("x"), (F.col("steps") > 1).alias("refined"))
+
+
 # --- Legendre ------------------------------------------------------------------------------------
 
 
@@ -667,6 +834,73 @@ def h14_weighted_mass(spark, sf_dir):
     return _digits(_basis(spark).set_uh().weighted_mass(0).df, 12, "v")
 
 
+@query("SELECT i, j, round(v, 12) + 0.0 AS v FROM (VALUES (0, 0, 1.0::DOUBLE / 140), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0::DOUBLE / 1260)) t(i, j, v)")
+def h14_weighted_mass_linear(spark, sf_dir):
+    """With u = x (1 - x): integrals of u times products of x (1 - x) and x (1 - x) (2 x - 1)."""
+    c = spark.createDataFrame([(0, 0, 1.0)], "b int, var int, u double")
+    d = _basis(spark, 2, 1, 1).set_uh(c).weighted_mass(1).df
+    return d.select("i", "j", (F.round("v", 12) + 0.0).alias("v"))
+
+
+@query("SELECT CAST(k AS INT) AS power, CASE WHEN (9 - k) % 2 = 1 THEN 0.0::DOUBLE ELSE pow(-1, (9 - k) // 2) * factorial((9 + k)::INT) / (pow(2, 9) * factorial(((9 - k) // 2)::INT) * factorial(((9 + k) // 2)::INT) * factorial(k::INT)) END AS c FROM (SELECT unnest(range(10)) AS k)")
+def h01_legendre(spark, sf_dir):
+    """Coefficients of the Legendre polynomial of degree 9."""
+    return spark.createDataFrame([(k, float(c)) for k, c in enumerate(legendre.legendre(9)[0])], "power int, c double")
+
+
+@query("SELECT CAST(k AS INT) AS k, round((315 * pow(k / 4.0, 4) - 210 * pow(k / 4.0, 2) + 15) / 8, 12) AS v FROM (SELECT unnest(range(-4, 5)) AS k)")
+def h02_derivative(spark, sf_dir):
+    """Derivative of the Legendre polynomial of degree 5 at quarters."""
+    d = legendre.derivative(legendre.legendre(5)[0])
+    return spark.createDataFrame([(k, round(float(legendre.value(d, legendre.Fraction(k, 4))), 12)) for k in range(-4, 5)], "k int, v double")
+
+
+@query("""SELECT k, round(x, 14) + 0.0 AS x, round(w, 14) AS w, true AS narrow FROM (VALUES
+ (0, -sqrt(5 + 2 * sqrt(10.0 / 7)) / 3, (322 - 13 * sqrt(70.0)) / 900), (1, -sqrt(5 - 2 * sqrt(10.0 / 7)) / 3, (322 + 13 * sqrt(70.0)) / 900), (2, 0.0, 128.0 / 225),
+ (3, sqrt(5 - 2 * sqrt(10.0 / 7)) / 3, (322 + 13 * sqrt(70.0)) / 900), (4, sqrt(5 + 2 * sqrt(10.0 / 7)) / 3, (322 - 13 * sqrt(70.0)) / 900)) t(k, x, w)""")
+def h03_nodes(spark, sf_dir):
+    """Five nodes and weights, whose enclosures are as narrow as doubles allow."""
+    d = legendre.nodes(spark, 5)
+    narrow = (F.col("x_hi") - F.col("x_lo") <= 2.0**-52) & (F.col("w_hi") - F.col("w_lo") <= 2.0**-52) & (F.col("x_lo") <= F.col("x_hi"))
+    return d.select("k", (F.round((F.col("x_lo") + F.col("x_hi")) / 2, 14) + 0.0).alias("x"), F.round((F.col("w_lo") + F.col("w_hi")) / 2, 14).alias("w"), narrow.alias("narrow"))
+
+
+@query("SELECT power, c FROM (VALUES (0, 0.0::DOUBLE), (1, 1.0), (2, -6.0), (3, 10.0), (4, -5.0)) t(power, c)")
+def h06_basis_polynomial(spark, sf_dir):
+    """x (1 - x) P_3'(x) / 12 for the shifted Legendre polynomial of degree 3."""
+    return spark.createDataFrame([(k, float(c)) for k, c in enumerate(legendre.basis_polynomial(4))], "power int, c double")
+
+
+@query("SELECT m, dim, CAST(pow(m, dim) AS INT) AS functions, CAST(pow(ceil(m / 2.0), dim) AS INT) AS even FROM (VALUES (3, 1), (4, 2), (5, 3)) t(m, dim)")
+def h07_configured(spark, sf_dir):
+    """Basis functions of some orders and dimensions, and the even ones among them."""
+    rows = [(m, d, _basis(spark, m, d).size, _basis(spark, m, d, even=True).size) for m, d in ((3, 1), (4, 2), (5, 3))]
+    return spark.createDataFrame(rows, "m int, dim int, functions int, even int")
+
+
+@query("SELECT round(1.0::DOUBLE / 6, 12) AS mean, round(1.0::DOUBLE / 30 + 1.0::DOUBLE / 210 + 1.0::DOUBLE / 630 - 1.0::DOUBLE / 210 * 1.0, 12) AS square")
+def h10_ones(spark, sf_dir):
+    """Integrals of u and u^2 for three basis functions with coefficients 1: only the first has a mean."""
+    b = _basis(spark, 3, 1, 2).set_uh()
+    return b.integral_u(1).select(F.round("v", 12).alias("mean")).crossJoin(b.integral_u(2).select(F.round("v", 12).alias("square")))
+
+
+@query("SELECT round(pi() * pi(), 8) AS line, round(2 * pi() * pi(), 6) AS square, true AS holds, true AS narrow")
+def h24_laplace_eigenvalue(spark, sf_dir):
+    """The least eigenvalue of the Laplacian on (0, 1) and its square, by verified Ritz values: bounds from above that converge fast."""
+
+    def least(m: int, dim: int) -> tuple[float, float]:
+        b = _basis(spark, m, dim)
+        a, c = (elementwise.convert(x, "interval") for x in (b.stiffness(), b.mass()))
+        e = verify.verified_eigsymge(a, c).df.where("i = j")
+        return tuple(e.orderBy("hi").select("lo", "hi").first())
+
+    (a, b), (c, d) = least(9, 1), least(7, 2)
+    line, square = np.pi**2, 2 * np.pi**2
+    holds = a - 1e-9 <= line <= b + 1e-9 and c - 1e-7 <= square <= d + 1e-7
+    return spark.createDataFrame([(round((a + b) / 2, 8), round((c + d) / 2, 6), bool(holds), b - a < 1e-9 and d - c < 1e-8)], "line double, square double, holds boolean, narrow boolean")
+
+
 @query("SELECT CAST(k AS INT) AS i, 0::INT AS j, round(CASE k WHEN 0 THEN 1.0::DOUBLE / 6 ELSE 0.0 END, 12) + 0.0 AS v FROM (SELECT unnest(range(20)) AS k)")
 def h15_load(spark, sf_dir):
     """(1, phi_j): only x (1 - x) has a mean."""
@@ -735,6 +969,15 @@ def h21_evaluate(spark, sf_dir):
     return b.sampled(c, 8).select(F.round("x0", 12).alias("x0"), F.round("u", 12).alias("u"))
 
 
+@query("SELECT round(16.0::DOUBLE / 9 + 25.0::DOUBLE / 16, 9) AS greatest, true AS holds, true AS narrow")
+def h22_global_maximum(spark, sf_dir):
+    """The maximum of the same function, at (-1, 1)."""
+    f = lambda x: X.i_add(X.i_pow(X.i_sub(x[0], (F.lit(1 / 3), F.lit(1 / 3))), 2), X.i_pow(X.i_add(x[1], (F.lit(0.25), F.lit(0.25))), 2))
+    hi, lo = legendre.global_maximum(spark, f, [(-1.0, 1.0), (-1.0, 1.0)], 2.0**-8)
+    top = (4 / 3) ** 2 + 1.25**2
+    return spark.createDataFrame([(round(top, 9), lo <= top <= hi, hi - lo < 0.05)], "greatest double, holds boolean, narrow boolean")
+
+
 @query("SELECT true AS holds")
 def h22_branch_and_bound(spark, sf_dir):
     """The minimum of (x - 1/3)^2 + (y + 1/4)^2 over [-1, 1]^2 is 0."""
@@ -808,16 +1051,24 @@ def i06_mul_sin(spark, sf_dir):
     return _near(hourly_series(spark, sf_dir).mul_sin(2).df)
 
 
-@query()
+@query(f"WITH s AS ({COEF}), p AS (SELECT mode + 2 AS mode, a / 2 AS a, CASE WHEN mode = 0 THEN b ELSE b / 2 END AS b FROM s UNION ALL SELECT abs(mode - 2), CASE WHEN mode >= 2 THEN 1 ELSE -1 END * a / 2, b / 2 FROM s WHERE mode > 0) SELECT CAST(mode AS INT) AS mode, {_R.format('CASE WHEN mode = 0 THEN 0 ELSE sum(a) END')} AS a, {_R.format('sum(b)')} AS b FROM p GROUP BY mode")
 def i06_mul_cos(spark, sf_dir):
     return _near(hourly_series(spark, sf_dir).mul_cos(2).df)
 
 
-@query()
+@query(f"WITH s AS ({COEF}), t AS (SELECT unnest(range(201)) * 2 * pi() / 200 AS t), f AS (SELECT t, abs(sum(a * sin(mode * t) + b * cos(mode * t))) AS v FROM s, t GROUP BY t) SELECT round((SELECT max(v) FROM f) + pow(2 * pi() / 200, 2) / 2 * (SELECT sum(mode * mode * (abs(a) + abs(b))) FROM s), 6) AS v")
 def i08_norm_inf(spark, sf_dir):
     return hourly_series(spark, sf_dir).norm_inf(200).select(F.round("v", 6).alias("v"))
 
 
+_of_series("i02_set", lambda s: _near(s.with_a0(7.5).with_sin(2, 1.25).with_cos(3, -2.5).df), _ab("CASE WHEN mode = 2 THEN 1.25 ELSE a END", "CASE mode WHEN 0 THEN 7.5 WHEN 3 THEN -2.5 ELSE b END"))
+
+
+@query("SELECT '1.5 + 2.0 sin(1t) + 0.5 cos(1t) + -1.0 sin(2t) + 3.0 cos(2t)' AS line")
+def i09_display(spark, sf_dir):
+    return fourier.series(spark, 1.5, [(2.0, 0.5), (-1.0, 3.0)]).display()
+
+
 @query("SELECT CAST(k AS INT) AS mode, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS a, 1.0::DOUBLE AS b FROM (SELECT unnest(range(6)) AS k)")
 def i03_ones(spark, sf_dir):
     return fourier.ones(spark, 5).df
