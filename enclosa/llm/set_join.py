@@ -57,7 +57,9 @@ BROADCAST = 1 << 20
 #: Bytes of a signature in the exchange, as measured; signatures for each element of a set at most; what writing one costs against comparing two rows that meet.
 ROW_BYTES, ROWS, ROW_COST = 8.5, 0.75, 8.0
 #: Bytes of text of an element, the share of the texts' bytes that a wave of signatures may have, and signatures of a bucket.
-ELEMENT, WAVE, BUCKET = 6, 0.75, 1 << 20
+ELEMENT, WAVE, BUCKET = 6, 0.75, 1 << 19
+#: Least signatures of a set that its rows in large groups carry, and the share (one in so many) of these groups that the first look takes.
+FEW, LOOK = 8, 16
 #: Bytes of texts that are signed together, and sets of these that may share a signature before they are paired on the spot.
 SIGNED, NEAR = 4 << 20, 16
 
@@ -310,27 +312,26 @@ def _signed(plan: Plan, n: int, buckets: int, first: int, last: int):
                 bucket = ((sig >> np.uint64(_LOW)) * np.uint64(buckets) >> np.uint64(64 - _LOW)).astype(np.int64)
                 own = (bucket >= first) & (bucket < last)
                 sig, of, bucket = sig[own], of[own], bucket[own]
-                o = np.lexsort((ids[lo + of], sig))
-                sig, of, bucket = sig[o], of[o], bucket[o]
-                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-                length = np.diff(np.append(start, len(sig)))
-                many = np.repeat(length > NEAR, length)
-                flag = np.zeros(len(sig), np.uint8)
-                flag[start] = length > NEAR
-                names, rows = [], []
-                near = np.flatnonzero(many)
-                if len(near):
-                    names.append(-1 - int(sig[near[0]] % np.uint64(buckets)))
-                    rows.append((bucket[near].astype("<i8").tobytes(), _planes(sig[near], flag[near], size[of[near]], ids[lo + of[near]]).tobytes()))
-                stays = np.flatnonzero(~many | (flag > 0))
+                flag, names, rows = np.zeros(len(sig), np.uint8), [], []
+                order = np.sort(sig)
+                many = np.unique(order[NEAR:][order[NEAR:] == order[:-NEAR]])
+                if len(many):
+                    at = np.flatnonzero(np.isin(sig, many))
+                    at = at[np.lexsort((ids[lo + of[at]], sig[at]))]
+                    flag[at[np.flatnonzero(np.concatenate([[True], sig[at[1:]] != sig[at[:-1]]]))]] = 1
+                    names.append(-1 - int(many[0] % np.uint64(buckets)))
+                    rows.append(bucket[at].astype("<i8").tobytes() + _planes(sig[at], flag[at], size[of[at]], ids[lo + of[at]]).tobytes())
+                    stays = np.ones(len(sig), bool)
+                    stays[at] = flag[at] > 0
+                    sig, of, bucket, flag = sig[stays], of[stays], bucket[stays], flag[stays]
                 # Buckets are ranges of signatures; within one, rows in order of the text keep bytes of ids together.
-                stays = stays[np.lexsort((of[stays], bucket[stays]))]
-                planes = _planes(sig[stays], flag[stays], size[of[stays]], ids[lo + of[stays]])
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[stays]) != 0, [True]])) if len(stays) else np.zeros(1, np.int64)
-                names += bucket[stays[cut[:-1]]].tolist()
+                o = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
+                bucket = bucket[o]
+                planes = _planes(sig[o], flag[o], size[of[o]], ids[lo + of[o]])
+                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(o) else np.zeros(1, np.int64)
+                names += bucket[cut[:-1]].tolist()
                 rows += [planes[:, i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 if names:
-                    rows = [x if isinstance(x, bytes) else x[0] + x[1] for x in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, pa.binary())], ["bucket", "packed"])
 
     return part
@@ -354,7 +355,7 @@ def _met(sig: np.ndarray, flag: np.ndarray, size: np.ndarray, ids: np.ndarray, f
     for n in np.unique(length[(length > 1) & ~long]):
         f = first[(length == n) & ~long]
         i, j = np.triu_indices(int(n), 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for at in range(0, len(f), step):
             g = f[at : at + step, None]
             p, q = (g + i).ravel(), (g + j).ravel()
@@ -437,34 +438,61 @@ def _block_pairs(hot: DataFrame) -> DataFrame:
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     pair = (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("pair")
     side = F.when(F.col("own") > F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(-1).alias("side")
-    return hot.select("sig", "id", "size", "component", "sketch", pair, side)
+    return hot.select("sig", "id", "size", "component", "sketch", pair, side, *(c for c in hot.columns if c == "few"))
 
 
-def _left_over(percent: int):
+def _left_over(percent: int, best: bool = False):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of (sig, id, size, component, sketch, pair, side) sorted by sig, pair and side, pairs of one sig and of different components that may link.
 
-        One block is held, and what it is compared with is read batch by batch;
+        With ``best``, of each set's pairs within two blocks only the one whose sketches are the most alike.  Where rows
+        carry ``few``, each set's least signatures, a pair that has a lesser one in common is left to that.  One block is held, and what it is compared with is read batch by batch;
         a block that is compared with itself (side -1) is held as it is read.
         """
         now, held = None, []
 
-        def compare(x: tuple, y: tuple) -> Iterator[pa.RecordBatch]:
-            (i, s, c, k), (j, t, d, m) = x, y
+        def elsewhere(x: np.ndarray, y: np.ndarray, sig: int) -> np.ndarray:
+            """For rows of signatures, whether one below ``sig`` is in both."""
+            out = np.zeros(len(x), bool)
+            for k in range(x.shape[1]):
+                out |= ((x[:, k, None] == y) & (y < sig)).any(1)
+            return out
+
+        def compare(x: tuple, y: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(place in y, id in x, bits to spare) of pairs that may link, for some of x at a time."""
+            (i, s, c, k, u), (_, t, d, m, v) = x, y
             n = min(k.shape[1], m.shape[1])
             k, m = folded(k, n), folded(m, n)
-            step = max(1, min(256, (16 << 20) // max(1, 8 * n * len(j))))
+            step = max(1, min(256, (16 << 20) // max(1, 8 * n * len(m))))
             for lo in range(0, len(i), step):
                 sl = slice(lo, lo + step)
                 both = s[sl, None] + t[None, :]
                 ok = (c[sl, None] != d[None, :]) & (100 * np.minimum(s[sl, None], t[None, :]) >= percent * np.maximum(s[sl, None], t[None, :]))
                 p, q = np.nonzero(ok)
                 if len(p):
-                    most = both[p, q] - 2 * -(-percent * both[p, q] // (100 + percent))
-                    good = np.bitwise_count(k[sl][p] ^ m[q]).sum(1) <= most
-                    if good.any():
-                        a, b = i[sl][p[good]], j[q[good]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    left = both[p, q] - 2 * -(-percent * both[p, q] // (100 + percent)) - np.bitwise_count(k[sl][p] ^ m[q]).sum(1)
+                    good = np.flatnonzero(left >= 0)
+                    if u.shape[1]:
+                        good = good[~elsewhere(u[sl][p[good]], v[q[good]], now[0])]
+                    yield q[good], i[sl][p[good]], left[good]
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def against(others: list, piece: tuple) -> Iterator[pa.RecordBatch]:
+            most, who = np.full(len(piece[0]), -1), np.zeros(len(piece[0]), np.int64)
+            for h in others:
+                for q, ids, left in compare(h, piece):
+                    if not best:
+                        if len(q):
+                            yield pairs(ids, piece[0][q])
+                        continue
+                    o = np.argsort(left, kind="stable")  # of several for one set, the last assignment stays
+                    q, ids, left = q[o], ids[o], left[o]
+                    more = left > most[q]
+                    most[q[more]], who[q[more]] = left[more], ids[more]
+            if best and (most >= 0).any():
+                yield pairs(piece[0][most >= 0], who[most >= 0])
 
         for b in batches:
             v = np.stack([b.column(c).to_numpy().astype(np.int64) for c in (0, 5, 6)])
@@ -477,12 +505,12 @@ def _left_over(percent: int):
                         now, held = key, []
                     own = [np.frombuffer(x.as_buffer(), np.uint64) for x in some.column(4)]
                     n = min(map(len, own))
-                    piece = (*(some.column(c).to_numpy() for c in (1, 2, 3)), np.stack([folded(x, n) for x in own]))
+                    few = np.full((len(own), FEW if b.num_columns > 7 else 0), np.iinfo(np.int64).max)
+                    for r, x in enumerate(some.column(7) if b.num_columns > 7 else ()):
+                        few[r, : len(x)] = x.values.to_numpy()
+                    piece = (*(some.column(c).to_numpy() for c in (1, 2, 3)), np.stack([folded(x, n) for x in own]), few)
                     if side != 0:
-                        for h in held:
-                            yield from compare(h, piece)
-                    if side == -1:
-                        yield from compare(piece, piece)
+                        yield from against([*held, piece] if side == -1 else held, piece)
                     if side != 1:
                         held.append(piece)
 
@@ -566,15 +594,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     label = shared.keep(components(links, shared), "components")
     links, label = _rest(pairs.join(first, ["a", "b"], "left_anti"), links, label, docs, shared, text, key, n, percent)
 
-    # Segments of many sets: what is still in several components there.
-    hot = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("id")).distinct().join(label, "id", "left")
-    hot = hot.select("sig", "id", F.coalesce("component", "id").alias("component"))
-    mixed = hot.join(known.select(F.col("doc_id").alias("id"), "size"), "id").groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.max("size").alias("most")).where("lo < hi").select("sig", "n", "most")
-    hot = hot.join(mixed, "sig").join(known.toDF("id", "size", "sketch"), "id").select("sig", "id", "size", "component", "sketch", "n", "most")
-    blocks_of = _block_pairs(hot).repartition(partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair", "side")
-    more = blocks_of.mapInArrow(_left_over(percent), "a long, b long").distinct()
-    links, label = _rest(more, links, label, docs, shared, text, key, n, percent)
-    shared.release()
+    # Signatures of many sets: what is still in several components there.  First, in some of them, each set's
+    # most alike partner, since most pairs are within a component then; what remains is compared in full.
+    members = shared.keep(met.where("sig IS NOT NULL").select("sig", F.col("a").alias("id")).distinct(), "members")
+    few = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, FEW).alias("few"))
+    known = shared.keep(known.join(few, F.col("doc_id") == F.col("id")).select("id", "size", "sketch", "few"), "hot")
+    for best in (True, False):
+        some = members.where(F.pmod(F.xxhash64("sig"), F.lit(LOOK)) == 0) if best else members
+        hot = some.join(label, "id", "left").join(known.drop("few") if best else known, "id").withColumn("component", F.coalesce("component", "id"))
+        hot = shared.keep(hot, "compared")
+        mixed = hot.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.max("size").alias("most")).where("lo < hi").select("sig", "n", "most")
+        blocks_of = _block_pairs(hot.join(mixed, "sig")).repartition(partitions(spark), "sig", "pair").sortWithinPartitions("sig", "pair", "side")
+        more = blocks_of.mapInArrow(_left_over(percent, best), "a long, b long").distinct()
+        links, label = _rest(more, links, label, docs, shared, text, key, n, percent)
+        shared.drop(hot)
+        shared.release()
 
     own = every.select("doc_id", *same).join(classes, same, "left")
     return shared.finish(own.join(label, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id")))
