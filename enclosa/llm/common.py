@@ -26,8 +26,9 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 class Shared:
     """Intermediate tables in the folder that the cluster shares.
 
-    ``spark.checkpoint.dir`` names the folder; only where it is unset (a local
-    session, tests) is a temporary folder of this machine used.  Tables are
+    ``spark.checkpoint.dir`` names the folder; where it is unset a session in one
+    process (tests) uses a temporary folder of this machine, and a cluster is
+    refused, as its executors would not see one.  Tables are
     Parquet, so a lost executor never costs what is written, and the plan that
     reads one is short again.
     """
@@ -35,6 +36,8 @@ class Shared:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         self.root = f"{root or tempfile.mkdtemp(prefix='enclosa-')}/enclosa/{label}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: list[str] = []

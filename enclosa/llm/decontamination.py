@@ -20,8 +20,9 @@ item's fingerprint and that of those of its shingles that the window has.
 
 Texts are lower-cased by Unicode's rules; words are runs of letters, digits and
 everything beyond ASCII.  Items with fewer than SHINGLE words have their whole word sequence as one
-shingle; items without words match nothing.  Null texts are empty.  Repeated
-items and rows each give their own matches; rows without doc_id give matches
+shingle; items without words match nothing.  Null texts are empty.  Items that
+repeat an item_id give one match of a text, the best; those without one count as
+one.  Repeated rows each give their own matches; rows without doc_id give matches
 without one.  An empty table of either kind gives no matches.  Other columns are ignored.
 
 Items are sent to the executors in blocks of at most ITEM_BYTES of text; a larger
@@ -118,7 +119,7 @@ class Items:
             first = np.cumsum(size) - size
             of = np.repeat(np.arange(len(some)), size)
             self.groups.append({
-                "n": n, "k": k, "ids": np.array([x[0] for x in some]), "all": every, "weights": w, "member": of * len(every) + at,
+                "n": n, "k": k, "ids": [x[0] for x in some], "all": every, "weights": w, "member": of * len(every) + at,
                 "total": np.add.reduceat(w[at], first), "prints": fingerprints(flat, w[at], first)})
         #: For each length of shingles, the hashes that items have and (CSR) the groups and places there that each has.
         self.any: dict[int, tuple] = {}
@@ -207,10 +208,10 @@ def matches(items: Items, data: np.ndarray, off: np.ndarray, seen: list | None =
                         seen.append((len(starts), min(step, len(g["ids"]) - q), len(p)))
                     for x in range(0, len(p), TOGETHER):
                         out += _verified(items, g, p[x : x + TOGETHER], c[x : x + TOGETHER], each, begin, starts, r, words)
-    best: dict[tuple[int, int], tuple] = {}
+    best: dict[tuple[int, int | None], tuple] = {}
     for m in sorted(out, key=lambda m: (-round(m[-1], 9), m[2])):
         best.setdefault(m[:2], m)
-    return sorted(best.values())
+    return sorted(best.values(), key=lambda m: (m[0], m[2], m[3]))
 
 
 def _verified(items: Items, g: dict, p: np.ndarray, c: np.ndarray, each: np.ndarray, begin: np.ndarray, starts: np.ndarray, r: np.ndarray, words: np.ndarray) -> list[tuple]:
@@ -227,7 +228,7 @@ def _verified(items: Items, g: dict, p: np.ndarray, c: np.ndarray, each: np.ndar
         own = sh[upto[x] : upto[x + 1]][both[upto[x] : upto[x + 1]]]
         seen = fingerprints(g["all"][own], g["weights"][own], np.zeros(1, np.int64))[0]
         row, start = int(r[starts[c[x]]]), int(starts[c[x]])
-        out.append((row, int(g["ids"][p[x]]), start - int(words[row]), g["n"], int(np.bitwise_count(seen ^ g["prints"][p[x]]).sum()), round(float(sim[x]), 12)))
+        out.append((row, g["ids"][p[x]], start - int(words[row]), g["n"], int(np.bitwise_count(seen ^ g["prints"][p[x]]).sum()), round(float(sim[x]), 12)))
     return out
 
 

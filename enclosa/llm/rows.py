@@ -22,6 +22,7 @@ def with_rows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFram
     The row is the doc_id; rows without one, and all but one of the different
     texts of a repeated one, are numbered after the greatest doc_id.  Texts are told
     apart by a 64-bit hash.  The second table is None where every row is its doc_id.
+    A column ``row`` of ``docs`` is replaced.
     """
     shared = Shared(spark, "rows")
     h = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
@@ -34,5 +35,6 @@ def with_rows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFram
     top = docs.agg(F.max("doc_id")).first()[0]
     start = 0 if top is None else top + 1
     odd = shared.keep(spark.createDataFrame(odd.rdd.zipWithIndex().map(lambda x: (x[0][1], start + x[1], x[0][0])), "h long, row long, own long"), "numbers")
-    d = docs.withColumn("h", h).join(small(odd.withColumnRenamed("h", "oh")), (F.col("h") == F.col("oh")) & F.col("doc_id").eqNullSafe(F.col("own")), "left")
-    return d.withColumn("row", F.coalesce("row", "doc_id")).drop("h", "oh", "own"), odd.select("row", "own")
+    known = odd.toDF("row_h", "row_number", "row_own")
+    d = docs.withColumn("row_of", h).join(small(known), (F.col("row_of") == F.col("row_h")) & F.col("doc_id").eqNullSafe(F.col("row_own")), "left")
+    return d.withColumn("row", F.coalesce("row_number", "doc_id")).drop("row_h", "row_number", "row_own", "row_of"), odd.select("row", "own")

@@ -13,11 +13,15 @@ then the chunks of a file, so that no task scans more than CHUNK rows of a file.
 
 A file without tokens has no documents; tokens after the last separator form a
 last document that is marked as open.  Two separators in a row enclose an empty
-document, which counts.
+document, which counts.  No blocks give no documents; other columns of the
+blocks are ignored.  Where documents are written, null texts are empty ones, rows
+that repeat a doc_id and rows without one are documents each, and an id that does
+not fit the file's width is an error.
 """
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +31,61 @@ from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 1 << 16
 CHUNK = 1024
+#: Bytes of a file that one row stands for.
+RANGE = 64 << 20
 BLOCKS = "file_id long, block long, tokens binary"
 SPANS = "file_id long, document long, start long, n_tokens long, closed boolean"
 
 
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the files that ``path`` (a file, folder or pattern) stands for."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for s in fs.globStatus(p) or ():
+        for f in fs.listStatus(s.getPath()) if s.isDirectory() else (s,):
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                out.append((f.getPath().toString(), f.getLen()))
+    return sorted(out)
+
+
 def from_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Blocks of the files at ``path`` (ids little-endian, ``width`` bytes each); file_id is a hash of the file's path.
 
-    A trailing part of an id is an error.
+    Files on a mounted file system are read in ranges of RANGE bytes, each a row
+    of its own, so that one large file takes many tasks.  From other stores a
+    file is one row, for which Spark's bound is 2 GB.  A trailing part of an id
+    is an error.
     """
+    files = _listed(spark, path)
+    for name, size in files:
+        if size % width:
+            raise ValueError(f"{name}: {size} bytes are not whole ids of {width} bytes")
     step = width * block_tokens
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    each = max(1, RANGE // step)
+    mounted = all(name.startswith("file:") for name, _ in files)
+    if mounted:
+        pieces = [(name, k, min(k + each * step, size)) for name, size in files for k in range(0, size, each * step)]
+        d = spark.createDataFrame(pieces, "path string, first long, last long").repartition(max(1, min(len(pieces), 10_000)), "path", "first")
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for f, name, first, last in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                    with open(urllib.parse.unquote(urllib.parse.urlparse(name).path), "rb") as file:
+                        file.seek(first)
+                        for at in range(first, last, step):
+                            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([at // step], pa.int64()), pa.array([file.read(min(step, last - at))], pa.binary())], ["file_id", "block", "tokens"])
+
+        return d.select(F.xxhash64("path").alias("file_id"), "path", "first", "last").mapInArrow(part, BLOCKS)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 buf = memoryview(raw.as_buffer() or b"")
-                if len(buf) % width:
-                    raise ValueError(f"{len(buf)} bytes are not whole ids of {width} bytes")
                 for k, at in enumerate(range(0, len(buf), step)):
                     yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([k], pa.int64()), pa.array([bytes(buf[at : at + step])], pa.binary())], ["file_id", "block", "tokens"])
 
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "content")
-    return files.mapInArrow(part, BLOCKS)
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "content").mapInArrow(whole, BLOCKS)
 
 
 def found(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -134,7 +171,10 @@ def flat_blocks(docs: DataFrame, file: str, separator: int, text: str = "text",
         for b in batches:
             ids = b.column(0).to_pylist()
             for t in b.column(1):
-                held += np.frombuffer(e.encode(t.as_py() or ""), "<u4").astype("<u2").tobytes() + end
+                own = np.frombuffer(e.encode(t.as_py() or ""), "<u4")
+                if len(own) and own.max() >= 1 << 16:
+                    raise ValueError(f"id {own.max()} does not fit in two bytes")
+                held += own.astype("<u2").tobytes() + end
                 while len(held) >= 2 * block_tokens:
                     yield row([block], [bytes(held[: 2 * block_tokens])], [None])
                     del held[: 2 * block_tokens]

@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from enclosa.llm import decontamination, difference_cover, language_id, license_scan, packing, quality_ranker, quality_rules, set_join, substring_dedup, token_files, url_filter
+from enclosa.llm import decontamination, difference_cover, distributed_suffixes, language_id, license_scan, packing, quality_ranker, quality_rules, set_join, substring_dedup, token_files, url_filter
 from enclosa.llm.components import components
 from enclosa.llm.common import Shared
 from enclosa.llm.queries import vocabulary
@@ -313,6 +313,16 @@ def test_suffix_array():
             assert difference_cover.suffix_array(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
 
 
+@pytest.mark.parametrize("n, kinds, local", [(300, 2, 40), (301, 3, 40), (302, 2, 60), (100, 26, 4), (64, 1, 8)])
+def test_distributed_suffixes(spark, n, kinds, local, monkeypatch):
+    monkeypatch.setattr(distributed_suffixes, "CHUNK", 16)
+    x = np.random.default_rng(n).integers(1, kinds + 1, n)
+    d = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x)], "pos long, sym long").repartition(3)
+    got = {r["pos"]: r["rank"] for r in distributed_suffixes.suffix_ranks(d, Shared(spark, "test"), local).collect()}
+    want = sorted(range(n), key=lambda i: x[i:].tolist())
+    assert [got[i] for i in want] == list(range(1, n + 1))
+
+
 def removed_brute(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -575,6 +585,25 @@ def test_token_files_on_disk(spark, tmp_path):
     assert got == [(0, 2, True), (1, 1, True), (2, 0, True), (3, 1, False)]
 
 
+def test_token_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE", 40)
+    rng = np.random.default_rng(9)
+    want = []
+    for name in ("a b", "c"):
+        t = rng.integers(0, 5, 333).astype("<u4")
+        (tmp_path / name).write_bytes(t.tobytes())
+        cut = np.flatnonzero(t == 0)
+        start = np.concatenate([[0], cut + 1])
+        want += [(int(s), int(e - s)) for s, e in zip(start, [*cut, len(t)], strict=True) if s < len(t)]
+    d = token_files.from_files(spark, str(tmp_path), 4, 3)
+    got = token_files.token_counts(d, 0, 4).collect()
+    assert sorted((r["start"], r["n_tokens"]) for r in got) == sorted(want)
+    assert d.count() == 2 * 111 and len({r["file_id"] for r in got}) == 2
+    (tmp_path / "c").write_bytes(b"123")
+    with pytest.raises(ValueError, match="whole ids"):
+        token_files.from_files(spark, str(tmp_path), 4, 3)
+
+
 def test_flat_blocks_round_trip(spark, docs, texts):
     made = Shared(spark, "test").keep(token_files.flat_blocks(docs, vocabulary(), 50256, block_tokens=500), "flat")
     counts = token_files.token_counts(made.where("tokens IS NOT NULL"), 50256)
