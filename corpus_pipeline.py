@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     others.  Of rows that repeat a doc_id and its text one stays.  Null and empty
     texts are near nothing and stay.
     """
-    rows, _ = with_rows(spark, docs)
+    rows, _ = with_rows(spark, docs.select(*COLUMNS))
     shared = Shared(spark, "near-duplicates")
     near = near_duplicates(rows, key="row", n=WORDS, percent=PERCENT).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     near = shared.keep(near.select(F.col("doc_id").alias("row"), "n"), "stays")
@@ -58,7 +58,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows without doc_id come after all others.  A null text becomes an empty one and stays, as nothing is cut from it.
     """
-    rows, _ = with_rows(spark, docs)
+    rows, _ = with_rows(spark, docs.select(*COLUMNS))
     cut = removals(rows.withColumnRenamed("doc_id", "own"), key="row", text_out=True, extra=["own", "lang", "source", "n_chars"], unique=True)
     left = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     cut = cut.where("n_removed = 0 OR trim(text) <> ''").withColumn("n_chars", left)
@@ -67,7 +67,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark go, whichever rows have them; null and empty texts contain none."""
-    rows, _ = with_rows(spark, docs)
+    rows, _ = with_rows(spark, docs.select(*COLUMNS))
     found = leaks(rows, table(spark, sf_dir, "benchmark"), key="row").select(F.col("doc_id").alias("row")).distinct()
     found = Shared(spark, "leaks").keep(found, "found")
     return rows.join(small(found), "row", "left_anti").select(*COLUMNS)
