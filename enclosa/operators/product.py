@@ -4,6 +4,8 @@
 partitioning; the inner index's terms of one element are one array), ``fast``
 uses plain sums with partial aggregation, ``block`` multiplies blocks of a
 matrix with numpy and sums these, which is the one for large dense matrices.
+The default, ``auto``, is exact up to ORDERED terms of an element and fast beyond.
+Products that round each step outwards add ranges of at most ORDERED terms first.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from enclosa.functions import expr as X
 from enclosa.operators.elementwise import _mul, convert, mapped, placed
-from enclosa.operators.reduce import folded
+from enclosa.operators.reduce import ORDERED, folded, summing
 from enclosa.operators.reshape import transpose
 from enclosa.types import DimensionError, InvalidArgumentError, Matrix
 
@@ -36,7 +38,7 @@ def _checked(a: Matrix, b: Matrix) -> None:
         raise InvalidArgumentError(f"product of {a.elem} and {b.elem} elements")
 
 
-def matmul(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
+def matmul(a: Matrix, b: Matrix, mode: str = "auto") -> Matrix:
     """Product by the kinds of its factors: scaling, dot, outer, matrix-vector or matrix-matrix product."""
     _checked(a, b)
     if "S" in (a.kind, b.kind) and a.cols != b.rows:
@@ -55,11 +57,11 @@ def matmul(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
     d = _joined(a, b)
     z = _mul(a.elem, tuple(F.col(c) for c in a.values), tuple(F.col(c + "_b") for c in a.values))
     d = placed(d, [*a.by, "i", "k", "j"], z, a.values)
-    d = folded(d, [*a.by, "i", "j"], ["k"], {c: F.col(c) for c in a.values}, a.elem, "exact" if mode == "plain" else mode)
+    d = folded(d, [*a.by, "i", "j"], ["k"], {c: F.col(c) for c in a.values}, a.elem, summing("auto" if mode == "plain" else mode, a.cols))
     return a.like(d, a.rows, b.cols)
 
 
-def dot(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
+def dot(a: Matrix, b: Matrix, mode: str = "auto") -> Matrix:
     return matmul(a if a.kind == "R" else transpose(a), b if b.kind == "C" else transpose(b), mode)
 
 
@@ -68,7 +70,7 @@ def outer(a: Matrix, b: Matrix) -> Matrix:
     return matmul(a, b)
 
 
-def gram(a: Matrix, mode: str = "exact") -> Matrix:
+def gram(a: Matrix, mode: str = "auto") -> Matrix:
     """Transpose of a times a: the half with i <= j, mirrored."""
     left = a.df.select(*a.by, F.col("j").alias("i"), F.col("i").alias("k"), *a.values)
     right = a.df.select(*a.by, F.col("i").alias("k"), "j", *[F.col(c).alias(c + "_b") for c in a.values])
@@ -81,7 +83,7 @@ def gram(a: Matrix, mode: str = "exact") -> Matrix:
         square = X.i_pow(x, 2)
         z = tuple(F.when(F.col("i") == F.col("j"), s).otherwise(p) for s, p in zip(square, z, strict=True))
     d = placed(d, [*a.by, "i", "k", "j"], z, a.values)
-    half = folded(d, [*a.by, "i", "j"], ["k"], {c: F.col(c) for c in a.values}, a.elem, mode)
+    half = folded(d, [*a.by, "i", "j"], ["k"], {c: F.col(c) for c in a.values}, a.elem, summing(mode, a.rows))
     both = F.explode(F.when(F.col("i") < F.col("j"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j"))))
     return a.like(half.select(*a.by, both.alias("at"), *a.values).select(*a.by, "at.i", "at.j", *a.values), a.cols, a.cols)
 
@@ -174,17 +176,17 @@ def dd_product(a: Matrix, b: Matrix) -> Matrix:
 # --- enclosures --------------------------------------------------------------
 
 
-def mixed_product(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
+def mixed_product(a: Matrix, b: Matrix, mode: str = "auto") -> Matrix:
     """Interval times point or point times interval; points are degenerate intervals."""
     return matmul(*(m if m.elem == "interval" else convert(m, "interval") for m in (a, b)), mode)
 
 
-def verified_product(a: Matrix, b: Matrix, mode: str = "exact") -> Matrix:
+def verified_product(a: Matrix, b: Matrix, mode: str = "auto") -> Matrix:
     """An interval matrix that holds the product of two point matrices."""
     return mixed_product(a, b, mode)
 
 
-def verified_gram(a: Matrix, mode: str = "exact") -> Matrix:
+def verified_gram(a: Matrix, mode: str = "auto") -> Matrix:
     return gram(convert(a, "interval"), mode)
 
 
@@ -216,16 +218,25 @@ def fma_product(a: Matrix, b: Matrix) -> Matrix:
     errors = [X.two_prod(F.col(p), F.col(q))[1] for p in ("lo", "hi") for q in ("lo_b", "hi_b")]
     pairs = F.sort_array(F.array(*[F.struct(c.alias("p"), e.alias("e")) for c, e in zip(corners, errors, strict=True)]))
     d = d.select(*a.by, "i", "j", F.struct("k", F.get(pairs, F.lit(0)).alias("low"), F.get(pairs, F.lit(3)).alias("high")).alias("x"))
-    d = d.groupBy(*a.by, "i", "j").agg(F.sort_array(F.collect_list("x")).alias("items"))
-
     def one(z: Column, p: Column, e: Column, outwards) -> Column:
         s, r = X.two_sum(z, p)
         rest = r + e
         return F.when(rest == 0, s).otherwise(outwards(s + rest))
 
     step = lambda z, x: F.struct(one(z["lo"], x["low"]["p"], x["low"]["e"], X.dn).alias("lo"), one(z["hi"], x["high"]["p"], x["high"]["e"], X.up).alias("hi"))
-    z = F.aggregate("items", F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")), step)
-    return a.like(d.withColumn("z", z).select(*a.by, "i", "j", "z.lo", "z.hi"), a.rows, b.cols)
+    return a.like(_stepwise(d, a, step), a.rows, b.cols)
+
+
+def _stepwise(d: DataFrame, a: Matrix, step) -> DataFrame:
+    """by, i, j, lo and hi: the items x (k first) of each element of ``d`` added in order by ``step``; beyond ORDERED terms in ranges, whose sums are added outwards."""
+    zero = F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
+    keys = [*a.by, "i", "j"]
+    if a.cols <= ORDERED:
+        d = d.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("items"))
+        return d.withColumn("z", F.aggregate("items", zero, step)).select(*keys, "z.lo", "z.hi")
+    d = d.withColumn("part", F.expr(f"x.k div {ORDERED}")).groupBy(*keys, "part").agg(F.sort_array(F.collect_list("x")).alias("items"))
+    d = d.withColumn("z", F.aggregate("items", zero, step)).select(*keys, "part", "z.lo", "z.hi")
+    return folded(d, keys, ["part"], {"lo": F.col("lo"), "hi": F.col("hi")}, "interval", "exact")
 
 
 def directed_product(a: Matrix, b: Matrix, mode: int = 0) -> Matrix:
@@ -241,7 +252,6 @@ def directed_pair(a: Matrix, b: Matrix) -> Matrix:
     """Both directed products at once, as intervals: every step is rounded outwards."""
     d = _joined(a, b)
     p = F.col("v") * F.col("v_b")
-    d = d.groupBy(*a.by, "i", "j").agg(F.sort_array(F.collect_list(F.struct("k", p.alias("p")))).alias("items"))
+    d = d.select(*a.by, "i", "j", F.struct("k", p.alias("p")).alias("x"))
     step = lambda z, x: F.struct(X.dn(z["lo"] + X.dn(x["p"])).alias("lo"), X.up(z["hi"] + X.up(x["p"])).alias("hi"))
-    z = F.aggregate("items", F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")), step)
-    return a.like(d.withColumn("z", z).select(*a.by, "i", "j", "z.lo", "z.hi"), a.rows, b.cols, "interval")
+    return a.like(_stepwise(d, a, step), a.rows, b.cols, "interval")

@@ -2,7 +2,9 @@
 
 A vector gives a scalar; a matrix gives a row of its columns' results.
 ``mode="exact"`` adds in order of the indices, which is the same for any
-partitioning; ``mode="fast"`` uses a plain sum with partial aggregation.
+partitioning and gathers the terms of a result; ``mode="fast"`` uses plain sums with
+partial aggregation.  The default, ``auto``, is exact up to ORDERED terms, known
+from the shape, and fast beyond, so that no row ever holds more.
 """
 
 from __future__ import annotations
@@ -18,6 +20,15 @@ from enclosa.operators.reshape import transpose
 from enclosa.types import DimensionError, InvalidArgumentError, Matrix, StateError
 
 
+#: Terms of one sum that are added in order by default; 1.5 MB of them at most.
+ORDERED = 1 << 16
+
+
+def summing(mode: str, terms: int) -> str:
+    """``auto`` as exact or fast, by the number of terms."""
+    return mode if mode != "auto" else "exact" if terms <= ORDERED else "fast"
+
+
 def folded(df: DataFrame, groups: list[str], order: list[str], values: dict[str, Column], elem: str, mode: str) -> DataFrame:
     """``groups`` and the sum of the values, as columns of the same names."""
     names = list(values)
@@ -30,6 +41,12 @@ def folded(df: DataFrame, groups: list[str], order: list[str], values: dict[str,
             d = d.groupBy(*groups).agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum(F.greatest(F.abs("lo"), F.abs("hi"))).alias("m"), F.count("*").alias("n"))
             slack = F.col("n") * F.lit(2 * X.PHI) * F.col("m") + F.col("n") * F.lit(X.ETA)
             return d.select(*groups, X.dn(F.col("lo") - slack).alias("lo"), X.up(F.col("hi") + slack).alias("hi"))
+        if elem == "dd" and order:
+            # Ranges of the indices first (one of a vector's two is 0), so that no row holds all terms.
+            part = F.expr(f"({' + '.join(order)}) div {ORDERED}").alias("part_")
+            d = df.select(*groups, part, *[F.col(o).alias(f"o{k}_") for k, o in enumerate(order)], *[v.alias(n) for n, v in values.items()])
+            d = folded(d, [*groups, "part_"], [f"o{k}_" for k in range(len(order))], {n: F.col(n) for n in names}, elem, "exact")
+            return folded(d, groups, ["part_"], {n: F.col(n) for n in names}, elem, "exact")
     elif mode != "exact":
         raise InvalidArgumentError(f"mode {mode}")
     item = F.struct(*[F.col(o).alias(f"o{k}") for k, o in enumerate(order)], *[v.alias(n) for n, v in values.items()])
@@ -56,9 +73,10 @@ def _row(a: Matrix, d: DataFrame, cols: int, elem: str | None = None) -> Matrix:
     return a.like(d.withColumn("i", F.lit(0)), 1, cols, elem)
 
 
-def total(a: Matrix, mode: str = "exact") -> Matrix:
+def total(a: Matrix, mode: str = "auto") -> Matrix:
     """Sum of a vector; of a matrix, sums of its columns."""
     groups, order, cols = _lines(a)
+    mode = summing(mode, a.rows if a.kind == "M" else a.size)
     return _row(a, folded(a.df, groups, order, {c: F.col(c) for c in a.values}, a.elem, mode), cols)
 
 
@@ -97,18 +115,18 @@ def _scalar(a: Matrix, d: DataFrame) -> Matrix:
 
 
 def _greatest_line(a: Matrix, line: str, other: str, mode: str) -> Matrix:
-    d = folded(a.df, [*a.by, line], [other], _absolute(a), a.elem, mode)
+    d = folded(a.df, [*a.by, line], [other], _absolute(a), a.elem, summing(mode, a.rows if line == "j" else a.cols))
     return _scalar(a, d.groupBy(*a.by).agg(*[F.max(c).alias(c) for c in a.values]))
 
 
-def norm_one(a: Matrix, mode: str = "exact") -> Matrix:
+def norm_one(a: Matrix, mode: str = "auto") -> Matrix:
     """Sum of magnitudes of a vector; greatest column sum of a matrix."""
     if a.kind != "M":
-        return _scalar(a, folded(a.df, [*a.by], ["i", "j"], _absolute(a), a.elem, mode))
+        return _scalar(a, folded(a.df, [*a.by], ["i", "j"], _absolute(a), a.elem, summing(mode, a.size)))
     return _greatest_line(a, "j", "i", mode)
 
 
-def norm_inf(a: Matrix, mode: str = "exact") -> Matrix:
+def norm_inf(a: Matrix, mode: str = "auto") -> Matrix:
     """Greatest magnitude of a vector; greatest row sum of a matrix."""
     if a.kind != "M":
         m = a.df.select(*a.by, *[v.alias(n) for n, v in _absolute(a).items()])
@@ -116,11 +134,11 @@ def norm_inf(a: Matrix, mode: str = "exact") -> Matrix:
     return _greatest_line(a, "i", "j", mode)
 
 
-def norm_two(a: Matrix, mode: str = "exact") -> Matrix:
+def norm_two(a: Matrix, mode: str = "auto") -> Matrix:
     """Euclidean norm of a vector; of a matrix the root of the greatest eigenvalue of its Gram matrix, from 0 on."""
     if a.kind != "M":
         square = {"v": F.col("v") * F.col("v")} if a.elem == "double" else dict(zip(("lo", "hi"), X.i_pow((F.col("lo"), F.col("hi")), 2), strict=True))
-        d = folded(a.df, [*a.by], ["i", "j"], square, a.elem, mode)
+        d = folded(a.df, [*a.by], ["i", "j"], square, a.elem, summing(mode, a.size))
         root = {"v": F.sqrt("v")} if a.elem == "double" else dict(zip(("lo", "hi"), X.i_sqrt((F.greatest(F.col("lo"), F.lit(0.0)), F.col("hi"))), strict=True))
         return _scalar(a, d.select(*a.by, *[v.alias(n) for n, v in root.items()]))
     from enclosa.operators.product import gram

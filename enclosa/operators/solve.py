@@ -2,17 +2,19 @@
 
 A key's matrix is gathered into one task and solved there in numpy, which is
 what scales for many small systems; its size is known before the plan is made,
-and one beyond ``LARGEST`` elements is refused.  ``conjugate_gradient`` solves
+and one beyond ``LARGEST`` elements is refused.  Small systems are one row each
+and reach Python as Arrow batches of many; larger ones are a group each.  ``conjugate_gradient`` solves
 one large positive definite system with joins alone.  The double-double forms
 refine a double solution with residuals from error-free slice products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from enclosa.plans.iterate import settled
 from enclosa.types import DimensionError, InvalidArgumentError, Matrix, StateError
 
 LARGEST = 2048 * 2048
+#: Elements of the systems that are gathered into one row each.
+ROW = 4096
 
 
 def _cells(m: Matrix, tag: int) -> DataFrame:
@@ -68,7 +72,32 @@ def grouped(some: list[Matrix], f: Callable[..., list[np.ndarray]], shapes: list
             z[c] = frame[c].iloc[0]
         return z[[*by, "tag", "i", "j", "v"]]
 
-    if by:
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = b.column(len(by))
+            begin = items.offsets.to_numpy()
+            flat = items.values
+            tag, i, j, v = (flat.field(k).to_numpy() for k in range(4))
+            size, out = [], []
+            for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                inputs = [np.zeros(d) for d in dims]
+                for k, x in enumerate(inputs):
+                    at = lo + np.flatnonzero(tag[lo:hi] == k)
+                    x[i[at], j[at]] = v[at]
+                n = 0
+                for k, z in enumerate(f(*inputs)):
+                    z = np.atleast_2d(z)
+                    p, q = np.indices(z.shape)
+                    out.append((np.full(z.size, k, np.int32), p.ravel().astype(np.int32), q.ravel().astype(np.int32), z.ravel().astype(float)))
+                    n += z.size
+                size.append(n)
+            if out:
+                rows = pa.array(np.repeat(np.arange(len(size)), size))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(len(by))), *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True))], [*by, "tag", "i", "j", "v"])
+
+    if by and sum(m.size for m in some) <= ROW:
+        d = cells.groupBy(*by).agg(F.collect_list(F.struct("tag", "i", "j", "v")).alias("items")).mapInArrow(many, schema)
+    elif by:
         d = cells.groupBy(*by).applyInPandas(one, schema)
     else:
         d = cells.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(one, schema)

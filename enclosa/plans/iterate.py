@@ -4,27 +4,34 @@ from __future__ import annotations
 
 import tempfile
 
-from enclosa.types import Matrix
+from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+from enclosa.types import Matrix, StateError
 
+_local: dict[str, str] = {}
 
-def settled(a: Matrix) -> Matrix:
-    """The matrix, computed and written to the checkpoint folder.
 
-    ``spark.checkpoint.dir`` names a folder that all executors share; where it
-    is unset, in a local session, a temporary folder of this machine is used.
-    """
-    spark = a.df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a session in one process has a temporary one and a cluster is refused."""
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(_local.setdefault("folder", tempfile.mkdtemp(prefix="enclosa-")))
-    return a.like(a.df.checkpoint())
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise StateError("spark.checkpoint.dir names no folder that driver and executors share")
+    if "folder" not in _local:
+        _local["folder"] = tempfile.mkdtemp(prefix="enclosa-")
+    return _local["folder"]
+
+
+def settled_frame(df: DataFrame) -> DataFrame:
+    """``df``, computed and written to the checkpoint folder."""
+    context, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
-def settled_frame(df):
-    """As settled(), for any DataFrame."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(_local.setdefault("folder", tempfile.mkdtemp(prefix="enclosa-")))
-    return df.checkpoint()
+def settled(a: Matrix) -> Matrix:
+    """As settled_frame(), for a matrix."""
+    return a.like(settled_frame(a.df))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +12,9 @@ from pyspark.sql import functions as F
 from enclosa.functions import expr as X
 from enclosa.operators import build, elementwise, fourier, legendre, product, reshape, solve, verify
 from enclosa.operators import reduce as reductions
-from enclosa.plans.irk import ImplicitRungeKutta
+from enclosa.plans import certificate
+from enclosa.plans.irk import ImplicitRungeKutta, tableau
+from enclosa.plans.iterate import shared_folder
 from enclosa.plans.newton import Newton, newton_column
 from enclosa.types import Matrix
 
@@ -770,18 +771,16 @@ def g05_decay(spark, sf_dir):
 @query("SELECT 4 AS stages, round(1.0, 12) AS weights, round(1.0::DOUBLE / 2, 12) AS first, round(1.0::DOUBLE / 8, 12) AS seventh, true AS consistent")
 def g02_tableau(spark, sf_dir):
     """Order conditions of three stages, raised to four: sums of b, b c and b c^7, and rows of a that sum to c."""
-    from enclosa.plans.irk import tableau
-
     a, b, c = map(np.array, tableau(3))
     sums = [round(float(x), 12) for x in (b.sum(), b @ c, b @ c**7)]
     return spark.createDataFrame([(len(b), *sums, bool(np.abs(a.sum(1) - c).max() < 1e-14))], "stages int, weights double, first double, seventh double, consistent boolean")
 
 
-@query("WITH s AS (SELECT user_id AS traj, count(*) / (count(*) + 5.0) AS x0 FROM events GROUP BY user_id) SELECT traj, round(x0 / (1 - 0.9 * x0), 6) AS x, true AS refined FROM s")
+@query("WITH s AS (SELECT user_id AS traj, (count(*) + 20.0) / (count(*) + 25.0) AS x0 FROM events GROUP BY user_id) SELECT traj, round(x0 / (1 - 0.9 * x0), 6) AS x, true AS refined FROM s")
 def g05_refined(spark, sf_dir):
     """x' = x^2 in steps that are too long for few Newton steps: they are halved."""
-    starts = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n")).select("user_id", (F.col("n") / (F.col("n") + 5)).alias("x0"))
-    run = ImplicitRungeKutta(lambda t, x: x * x, lambda t, x: np.diag(2 * x), stages=8, tau=0.9, newton_steps=7, t1=0.9)
+    starts = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n")).select("user_id", ((F.col("n") + 20) / (F.col("n") + 25)).alias("x0"))
+    run = ImplicitRungeKutta(lambda t, x: x * x, lambda t, x: np.diag(2 * x), stages=8, tau=0.9, newton_steps=4, t1=0.9)
     out = run.solve(starts, "user_id", ["x0"])
     steps = out.groupBy("traj").agg(F.max("step").alias("steps"), F.max("t").alias("t"))
     return out.join(steps, ["traj", "t"]).select("traj", F.round("x", 6).alias("x"), (F.col("steps") > 1).alias("refined"))
@@ -885,6 +884,20 @@ def h10_ones(spark, sf_dir):
     return b.integral_u(1).select(F.round("v", 12).alias("mean")).crossJoin(b.integral_u(2).select(F.round("v", 12).alias("square")))
 
 
+@query("SELECT round(6 * pow(gamma(1.0 / 3) * gamma(0.5) / (3 * gamma(5.0 / 6)), 2), 7) AS top, true AS holds, true AS near")
+def emden_line(spark, sf_dir):
+    """The whole certificate on (0, 1), where the greatest value has a closed form."""
+    c = certificate.emden(spark, 1, 20, 47.0)
+    return spark.createDataFrame([(round(c.top, 7), c.holds, c.radius < 1e-3)], "top double, holds boolean, near boolean")
+
+
+@query("SELECT true AS holds, true AS near, true AS positive")
+def emden_square(spark, sf_dir):
+    """The whole certificate on (0, 1)^2."""
+    c = certificate.emden(spark, 2, 14, 600.0)
+    return spark.createDataFrame([(c.holds, c.radius < 0.5, c.top > 25)], "holds boolean, near boolean, positive boolean")
+
+
 @query("SELECT round(pi() * pi(), 8) AS line, round(2 * pi() * pi(), 6) AS square, true AS holds, true AS narrow")
 def h24_laplace_eigenvalue(spark, sf_dir):
     """The least eigenvalue of the Laplacian on (0, 1) and its square, by verified Ritz values: bounds from above that converge fast."""
@@ -1134,8 +1147,8 @@ def _round_trip(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from enclosa.sources import matrix_file
 
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="enclosa-")
-        path = f"{folder.removeprefix('file://')}/embeddings-{kind}-{os.getpid()}"
+        folder = shared_folder(spark)
+        path = f"{folder.removeprefix('file://').removeprefix('file:')}/embeddings-{kind}-{os.getpid()}"
         matrix_file.save(embeddings(spark, sf_dir), path, kind)
         return matrix_file.load(spark, path, "double", kind).df
 

@@ -384,6 +384,38 @@ def test_files_refuse_elements_outside(spark, tmp_path):
     assert list(tmp_path.iterdir()) == []
 
 
+def test_long_sums_are_bounded(spark, monkeypatch):
+    """Beyond ORDERED terms nothing gathers a whole line: plain sums, ranges of directed sums, ranges of double-double sums."""
+    monkeypatch.setattr(red, "ORDERED", 8)
+    monkeypatch.setattr(product, "ORDERED", 8)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3, 30)), rng.normal(size=(30, 2))
+    a, b = of(spark, x), of(spark, y)
+    assert np.allclose(product.matmul(a, b).collect(), x @ y, rtol=1e-12)
+    assert np.allclose(red.total(of(spark, y)).collect(), y.sum(0), rtol=1e-12)
+    exact = [[sum(Fraction(x[i, k]) * Fraction(y[k, j]) for k in range(30)) for j in range(2)] for i in range(3)]
+    pairs = [product.directed_pair(a, b).collect(), product.fma_product(red.interval(a), red.interval(b)).collect(), product.matmul(red.interval(a), red.interval(b)).collect()]
+    for p in pairs:
+        assert all(Fraction(p[i, j, 0]) <= exact[i][j] <= Fraction(p[i, j, 1]) for i in range(3) for j in range(2))
+        assert (p[..., 1] - p[..., 0]).max() < 1e-12
+    for m, want in ((of(spark, x[:1]), x[0]), (of(spark, y[:, :1]), y[:, 0])):
+        hi, lo = red.total(elementwise.convert(m, "dd")).collect()[0, 0]
+        assert abs(Fraction(hi) + Fraction(lo) - sum(map(Fraction, want))) < Fraction(1, 10**28)
+
+
+def test_small_systems_are_stacked(spark, monkeypatch):
+    """Many systems in Arrow batches give what a group for each gives."""
+    rng = np.random.default_rng(8)
+    rows = [(f"k{g}", i, j, float(v)) for g in range(25) for (i, j), v in np.ndenumerate(rng.normal(size=(3, 3)) + 4 * np.eye(3))]
+    a = Matrix(spark.createDataFrame(rows, "g string, i int, j int, v double"), 3, 3, by=("g",))
+    b = Matrix(a.df.where("j = 0"), 3, 1, by=("g",))
+    read = lambda: [sorted(map(tuple, m.df.collect())) for m in (solve.solve(a, b), *solve.lu(a))]
+    stacked = read()
+    monkeypatch.setattr(solve, "ROW", 0)
+    assert stacked == read()
+    assert all(abs(v - (i == 0)) < 1e-12 for _, i, _, v in stacked[0])
+
+
 def test_grid_query_counts_its_nodes(spark, monkeypatch):
     from enclosa.operators import legendre
     from enclosa.plans import queries
