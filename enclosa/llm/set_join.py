@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from enclosa.llm.common import Shared, partitions
 from enclosa.llm.components import components
-from enclosa.llm.textblocks import NOT_SPACE, blocks, by_row, lower_ascii, mix, shingle_hashes, word_hashes, word_spans
+from enclosa.llm.textblocks import NOT_SPACE, blocks, by_row, give_back, lower_ascii, mix, shingle_hashes, word_hashes, word_spans
 
 N, PERCENT = 4, 85
 #: Sizes of a band differ by this factor at most; bits of the parity sketch for each element; largest group whose pairs are all compared.
@@ -57,11 +57,11 @@ BROADCAST = 1 << 20
 #: Bytes of a signature in the exchange, as measured; signatures for each element of a set at most; what writing one costs against comparing two rows that meet.
 ROW_BYTES, ROWS, ROW_COST = 8.5, 0.75, 8.0
 #: Bytes of text of an element, the share of the texts' bytes that a wave of signatures may have, and signatures of a bucket.
-ELEMENT, WAVE, BUCKET = 6, 0.75, 1 << 19
+ELEMENT, WAVE, BUCKET = 6, 0.75, 1 << 18
 #: Least signatures of a set that its rows in large groups carry, and the share (one in so many) of these groups that the first look takes.
 FEW, LOOK = 8, 16
 #: Bytes of texts that are signed together, and sets of these that may share a signature before they are paired on the spot.
-SIGNED, NEAR = 4 << 20, 16
+SIGNED, NEAR = 1 << 20, 16
 
 
 def overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -262,8 +262,8 @@ def summaries(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
             for lo, hi, data, off in blocks(b.column(1)):
                 h, r = sets_of(data, off, n)
                 size = np.bincount(r, minlength=hi - lo)
-                sketch = parity(h, r, size)
-                short = [folded(np.frombuffer(x, np.uint64), len(x) // 16).tobytes() for x in sketch]
+                whole = [np.frombuffer(x, np.uint64) for x in parity(h, r, size)]
+                sketch, short = ([folded(x, len(x) // k).tobytes() for x in whole] for k in (2, 4))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(sums(mix(h, 1), r, hi - lo).view(np.int64)), pa.array(sums(mix(h, 2), r, hi - lo).view(np.int64)),
                      pa.array(sketch, pa.binary()), pa.array(short, pa.binary())],
@@ -362,8 +362,9 @@ def _met(sig: np.ndarray, flag: np.ndarray, size: np.ndarray, ids: np.ndarray, f
             ok = np.abs(size[p] - size[q]) <= far
             pairs.append(np.unique(np.stack([ids[p[ok]], ids[q[ok]]]), axis=1))
     inside = np.repeat(long & ((length > 1) | (flagged > 0)), length)
-    least = np.repeat(ids[first], length)[inside]
-    pairs.append(np.unique(np.stack([least, ids[inside]])[:, least != ids[inside]], axis=1))
+    least, other = np.repeat(ids[first], length)[inside], ids[inside]
+    ok = (least != other) & (np.abs(np.repeat(size[first], length)[inside] - size[inside]) <= far)
+    pairs.append(np.unique(np.stack([least, other])[:, ok], axis=1))
     u = np.unique(np.concatenate(pairs, axis=1), axis=1)
     yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1]), pa.nulls(u.shape[1], pa.int64())], ["a", "b", "sig"])
     yield pa.RecordBatch.from_arrays([pa.array(ids[inside]), pa.nulls(int(inside.sum()), pa.int64()), pa.array(sig[inside].view(np.int64))], ["a", "b", "sig"])
@@ -394,6 +395,7 @@ def _meet(percent: int):
                     now, held = k, []
                 held.append(raw)
         yield from out()
+        give_back()
 
     return part
 
@@ -580,7 +582,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
         met = one if met is None else met.unionByName(one)
 
     known = every.where("doc_id IS NOT NULL").select(F.col("doc_id"), F.col("n_shingles").alias("size"), "sketch", "short")
-    # A pair's sizes are close, so half a sketch tells them apart; groups of many sets take the whole.
+    # A quarter of a sketch tells most pairs apart; groups of many sets take a half, which leaves fewer.
     brief, known = known.drop("sketch"), known.drop("short")
     pairs = met.where("sig IS NULL").select("a", "b").distinct()
     pairs = pairs.join(brief.toDF("a", "sa", "ka"), "a").join(brief.toDF("b", "sb", "kb"), "b")

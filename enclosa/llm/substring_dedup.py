@@ -39,12 +39,12 @@ from pyspark.sql import functions as F
 from enclosa.llm.common import Shared, partitions
 from enclosa.llm.difference_cover import equal_prefixes
 from enclosa.llm.rows import with_rows
-from enclosa.llm.textblocks import _TABLE, blocks, mix, powers
+from enclosa.llm.textblocks import _TABLE, blocks, give_back, mix, powers
 
 LENGTH, K = 100, 20
 START_BITS = 28
 #: Contexts of an anchor that are sorted together; bytes of contexts in one suffix array; starts looked at together.
-HOT, SORTED, SPAN = 2000, 1 << 20, 1 << 20
+HOT, SORTED, SPAN = 2000, 1 << 19, 1 << 19
 #: Hot anchors that are broadcast: 8 MB of numbers.
 BROADCAST = 1 << 20
 _POS = np.uint64(22)
@@ -121,7 +121,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _known(rows: np.ndarray, starts: np.ndarray, lists: pa.Array) -> np.ndarray:
     """Whether each (row, start) is in that row's list."""
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    v = lists.flatten().to_numpy()
+    v = lists.flatten().to_numpy().astype(np.int64)
     of = lists.value_parent_indices().to_numpy() if hasattr(lists, "value_parent_indices") else pa.compute.list_parent_indices(lists).to_numpy()
     return np.isin((rows << START_BITS) | starts, (of.astype(np.int64) << START_BITS) | v)
 
@@ -187,6 +187,7 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             parts.append(b.slice(lo, hi - lo))
             held += int(sizes[lo:hi].sum())
     yield from flush(parts)
+    give_back()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,7 @@ def _removed(row, first, last, off, unique, outs, kept, n: int) -> np.ndarray:
     later = np.zeros(n + 1, bool)
     of = pa.compute.list_parent_indices(outs).to_numpy().astype(np.int64)
     flat = outs.flatten()
-    start, flags = flat.field(0).to_numpy(), flat.field(1)
+    start, flags = flat.field(0).to_numpy().astype(np.int64), flat.field(1)
     key = (of << START_BITS) | start
     o = np.argsort(key)
     key = key[o]
@@ -221,7 +222,7 @@ def _removed(row, first, last, off, unique, outs, kept, n: int) -> np.ndarray:
     np.add.at(step, first[gone], 1)
     np.add.at(step, last[gone] + 1, -1)
     later |= np.cumsum(step)[: n + 1] > 0
-    kf, ko = kept.flatten().to_numpy(), pa.compute.list_parent_indices(kept).to_numpy().astype(np.int64)
+    kf, ko = kept.flatten().to_numpy().astype(np.int64), pa.compute.list_parent_indices(kept).to_numpy().astype(np.int64)
     stays = np.zeros(n + 1, bool)
     stays[off[ko] + kf] = True
     for c in np.flatnonzero(found):
@@ -257,7 +258,7 @@ def _finished(text_out: bool, extra: list[str]):
 
 
 def _located(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(F.shiftright("pos", START_BITS).alias("doc_id"), F.col("pos").bitwiseAND((1 << START_BITS) - 1).alias("start"), *more)
+    return df.select(F.shiftright("pos", START_BITS).alias("doc_id"), F.col("pos").bitwiseAND((1 << START_BITS) - 1).cast("int").alias("start"), *more)
 
 
 def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", text_out: bool = False, extra: list[str] | None = None, unique: bool = False) -> DataFrame:
@@ -295,7 +296,7 @@ def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
     unique = shared.keep(_located(alone).groupBy("doc_id").agg(F.collect_list("start").alias("unique")), "unique")
     shared.release()
 
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<int>")
     known = docs.join(unique, "doc_id", "left").select("doc_id", "text", F.coalesce("unique", none).alias("unique"))
     found = known.mapInArrow(_shared_contexts, "anchor long, context binary, pos long")
     first = shared.keep(found.groupBy("anchor", "context").agg(F.min("pos").alias("pos")), "contexts")
@@ -320,6 +321,6 @@ def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
     lists = unique.join(outs, "doc_id", "full").join(kept, "doc_id", "full")
     every = docs.join(lists, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("unique", none).alias("unique"),
-        F.coalesce("outs", F.array().cast("array<struct<start:bigint,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *extra)
+        F.coalesce("outs", F.array().cast("array<struct<start:int,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *extra)
     kinds = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
     return every.mapInArrow(_finished(text_out, extra), kinds)
