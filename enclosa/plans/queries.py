@@ -931,8 +931,9 @@ def h08_even_list(spark, sf_dir):
     return _basis(spark, 5, 2, even=True).index_list()
 
 
-@query("SELECT round(1.0, 10) AS volume, 64 AS nodes")
+@query("SELECT round(1.0, 10) AS volume, CAST(pow(((2 + 2) * (1 + 1) + 1) // 2 + 2, 2) AS INT) AS nodes")
 def h09_grid(spark, sf_dir):
+    """Order 2 and power 1 take ((2 + 2) (1 + 1) + 1) / 2 + 2 = 6 nodes on an axis."""
     b = legendre.Basis(spark, 2, 1, 2, mode=1)
     return b.grid().agg(F.round(F.sum("w"), 10).alias("volume"), F.count("*").cast("int").alias("nodes"))
 

@@ -420,7 +420,7 @@ def test_grid_query_counts_its_nodes(spark, monkeypatch):
     from enclosa.operators import legendre
     from enclosa.plans import queries
 
-    assert queries.h09_grid(spark, "").first()["nodes"] == 36  # six on an axis; the SQL says 64
+    assert queries.h09_grid(spark, "").first()["nodes"] == 36  # six on an axis
     grid = legendre.Basis.grid
     monkeypatch.setattr(legendre.Basis, "grid", lambda self: grid(self).where("q > 0"))
     assert queries.h09_grid(spark, "").first()["nodes"] == 35
