@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from enclosa.llm.common import held_out
+from enclosa.llm.rows import small
 from enclosa.llm.textblocks import blocks
 
 DIM = 1 << 12
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     # Only ids with a small hash can be among the sample; the bound keeps the window small for a frequent label.
     total = d.groupBy("lang").agg(F.count("*").alias("c"))
-    d = d.withColumn("h", F.xxhash64("id")).join(total, "lang").where(F.abs(F.col("h") / 2.0**63) <= 4 * sample / F.col("c"))
+    d = d.withColumn("h", F.xxhash64("id")).join(small(total), "lang").where(F.abs(F.col("h") / 2.0**63) <= 4 * sample / F.col("c"))
     chosen = d.withColumn("r", rank).where(F.col("r") <= sample).select("id", "lang").distinct()
     some = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(chosen), "id").groupBy("id", "lang").agg(F.min("t").alias("t")).select("id", "t", "lang")
     rows = some.mapInArrow(_sparse, "id long, lang string, places binary, counts binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("counts", "ascending")])

@@ -287,6 +287,51 @@ def test_allocation_meets_the_pigeonhole_bound():
                 assert a + b - 2 * set_join.overlap(a, b) < ones + 2 * twos
 
 
+def test_signatures_of_an_element_are_bounded_at_every_size():
+    """Bytes that a text writes, by the number of texts in its band."""
+    low_ = set_join.bands(40_000)
+    for percent in (85, 80):
+        for texts in (1000, 10**6, 10**8, 10**11):
+            for k in range(len(low_) - 1):
+                ones, twos = set_join.allocate(low_[k], low_[k + 1], texts, percent)
+                most = set_join.apart(low_[k], low_[k + 1], percent)
+                assert set_join.spare(ones, twos, most) >= 0
+                assert set_join.signed(ones, twos, low_[k + 1]) <= set_join.ROWS * low_[k + 1] + 5
+    assert set_join.allocate(316, 474, 10**8, 85)[1] > 0 == set_join.allocate(316, 474, 10**4, 85)[1]
+
+
+def test_linked_sets_share_a_segment_that_is_not_empty():
+    rng = np.random.default_rng(7)
+    for percent in (85, 80):
+        plan = set_join.Plan(set_join.bands(400), [10**6] * 20, percent)
+        for _ in range(300):
+            n = int(rng.integers(1, 200))
+            base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            gone = int(rng.integers(0, len(base) * (100 - percent) // 100 + 1))
+            other = np.sort(np.concatenate([base[gone:], rng.integers(0, 2**63, int(rng.integers(0, 3)), dtype=np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            if 100 * both < percent * len(np.union1d(base, other)):
+                continue
+            h, rows = np.concatenate([base, other]), np.repeat([0, 1], [len(base), len(other)])
+            sig, of = set_join.signatures(h, rows, np.array([len(base), len(other)]), plan)
+            assert len(np.intersect1d(sig[of == 0], sig[of == 1]))
+
+
+@pytest.mark.parametrize("patch", [{"twos": True}, {"WAVE": 0.05}, {"NEAR": 1, "GROUP": 2, "LOOK": 2}])
+def test_set_join_every_branch(docs, texts, monkeypatch, patch):
+    """One-deletion segments alone (and sets with too many empty ones), several waves, groups that are paired on the spot."""
+    if patch.pop("twos", False):
+        def forced(low, high, n, percent):
+            twos = (set_join.apart(low, high, percent) + 2) // 2
+            return (0, twos) if set_join.apart(low, high, percent) else (1, 0)
+
+        monkeypatch.setattr(set_join, "allocate", forced)
+    for k, v in patch.items():
+        monkeypatch.setattr(set_join, k, v)
+    got = {r[0]: (r[1], r[2]) for r in set_join.near_duplicates(docs).collect()}
+    assert got == jaccard_brute(texts, 4, 85)
+
+
 def test_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
