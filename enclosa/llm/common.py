@@ -41,6 +41,7 @@ class Shared:
         self.root = f"{root or tempfile.mkdtemp(prefix='enclosa-')}/enclosa/{label}-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: list[str] = []
+        self.tables: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read back; its lineage ends here."""
@@ -50,6 +51,16 @@ class Shared:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def dealt(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Writes ``df`` in buckets of ``key``, one file each: joins on the key then move only the other side."""
+        self.n += 1
+        path, n = f"{self.root}/{self.n}-{name}", partitions(self.spark)
+        named = "enclosa_" + uuid.uuid4().hex
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(named)
+        self.paths.append(path)
+        self.tables.append(named)
+        return self.spark.table(named)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes what keep() wrote, once nothing reads it any more."""
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -60,6 +71,8 @@ class Shared:
         """Keeps a result and deletes everything that was kept before it."""
         before, self.paths = self.paths, []
         out = self.keep(df, "result")
+        for named in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {named}")
         for path in before:
             self._delete(path)
         self.release()

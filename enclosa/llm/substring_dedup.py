@@ -15,8 +15,9 @@ adjacent prefixes are compared.  An anchor with more than HOT different contexts
 would make a task large; its starts are grouped by their LENGTH bytes instead,
 with partial aggregation, which gives the same classes.
 
-No task ever gathers one key's rows: counts and minima are aggregated in
+No task ever gathers one anchor's rows: counts and minima are aggregated in
 part before each shuffle, and what comes back to a document is about that document.
+Texts are moved once, into buckets of doc_id, which are read as streams.
 
 A null text is empty.  Texts of less than LENGTH bytes lose nothing.  Rows that
 repeat a doc_id and its text are the same document and lose the same; further
@@ -291,6 +292,8 @@ def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
     """removals() of (doc_id, text and extra columns) without nulls."""
     spark = docs.sparkSession
     shared = Shared(spark, "substring-dedup")
+    docs = shared.dealt(docs, "texts", "doc_id")  # texts are moved once; both joins below bring lists to them
+    shared.release()
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "anchor long, pos long")
     alone = anchors.groupBy("anchor").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).where("n = 1")
     unique = shared.keep(_located(alone).groupBy("doc_id").agg(F.collect_list("start").alias("unique")), "unique")
@@ -317,10 +320,11 @@ def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
         shared.drop(t)
     shared.release()
 
-    # The small lists are put together first, so that texts are moved once.
+    # The small lists are put together before they meet the texts.
     lists = unique.join(outs, "doc_id", "full").join(kept, "doc_id", "full")
     every = docs.join(lists, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("unique", none).alias("unique"),
         F.coalesce("outs", F.array().cast("array<struct<start:int,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *extra)
     kinds = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
-    return every.mapInArrow(_finished(text_out, extra), kinds)
+    out = every.mapInArrow(_finished(text_out, extra), kinds)
+    return out if text_out else shared.finish(out)  # a few numbers a document; texts are written by whoever wants them
