@@ -26,7 +26,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     twos = np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
     triples = (pair[sample] << BITS) | np.append(t, 0)[sample + 2]
-    order = np.argsort(triples, kind="stable")
+    order = np.argsort(triples)
     fresh = np.ones(len(order), bool)
     fresh[1:] = triples[order[1:]] != triples[order[:-1]]
     names = np.empty(len(order), np.int64)
@@ -38,7 +38,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
     # The rest, by first symbol and the rank behind it.
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort((t[rest] << BITS) | rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort((t[rest] << BITS) | rank[rest + 1])]
 
     # Merge: a rest suffix is compared with 1 mod 3 over one symbol and with 2 mod 3 over two.
     sample = sample[order]
