@@ -273,7 +273,7 @@ def summaries(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(part, _SUMMARY)
 
 
-#: Low bits of a signature that are stored; a bucket is a range of the others.
+#: Low bits of a signature that are stored; a bucket is a range of the others, of which there are 2**24 at most.
 _LOW = 40
 _PACKED = "bucket long, packed binary"
 
@@ -556,7 +556,7 @@ def _planned(classes: DataFrame, least: int, percent: int) -> tuple[Plan, int, i
     plan = Plan(low, texts, percent)
     rows = sum(r["n"] * signed(int(plan.ones[k]), int(plan.twos[k]), r["size"] / r["n"]) for r in found for k in {r["band"], r["band"] - 1 if r["lower"] and r["band"] else r["band"]})
     waves = max(1, math.ceil(rows * ROW_BYTES / (WAVE * ELEMENT * max(1, sum(r["size"] for r in found)))))
-    return plan, max(least, waves, math.ceil(rows / BUCKET)), waves
+    return plan, min(1 << 64 - _LOW, max(least, waves, math.ceil(rows / BUCKET))), waves
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
