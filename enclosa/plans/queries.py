@@ -334,8 +334,15 @@ def d08_mixed_product(spark, sf_dir):
 _SPREAD = "((abs(x.v) + 0.125) * 0.125 + 0.125 * abs(y.v))"
 
 
-@query(_ends(f"x.v * y.v - {_SPREAD}", f"x.v * y.v + {_SPREAD}", "e x JOIN e y ON x.i = y.i"))
+@query(f"WITH {E} SELECT x.j AS i, y.j AS j, round(sum(x.v * y.v - {_SPREAD}), 5) AS lo, round(sum(x.v * y.v + {_SPREAD}), 5) AS hi FROM e x JOIN e y ON x.i = y.i GROUP BY x.j, y.j")
 def d10_mid_rad_product(spark, sf_dir):
+    a = blurred(embeddings(spark, sf_dir))
+    return _digits(product.mid_rad_product(reshape.transpose(a), a).df, 5, "lo", "hi")
+
+
+@query(_ends(f"x.v * y.v - {_SPREAD}", f"x.v * y.v + {_SPREAD}", "e x JOIN e y ON x.i = y.i"))
+def d10_mid_rad_enclosure(spark, sf_dir):
+    """Whether it holds the exact product, whose error-free terms are gathered for that."""
     a = blurred(embeddings(spark, sf_dir))
     return _enclosed(product.mid_rad_product(reshape.transpose(a), a), reshape.transpose(a), a, width=None)
 
