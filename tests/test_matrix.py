@@ -488,3 +488,8 @@ def test_fma_product_of_many_terms(spark, long_intervals):
     """Narrower than one rounding a step makes it, as the terms are not gathered in order."""
     m, t, lo, hi = long_intervals
     _tight(product.fma_product(m, t), *_exact_gram(lo, hi, lo.T, hi.T), 1e-10)
+
+
+def test_interval_gram_of_many_terms(spark, long_intervals):
+    m, t, lo, hi = long_intervals
+    _tight(product.gram(t), *_exact_gram(lo, hi, lo.T, hi.T, square=True), 1e-10)
