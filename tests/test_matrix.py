@@ -500,3 +500,9 @@ def test_mixed_product_of_many_terms(spark, long_intervals):
     m, t, lo, hi = long_intervals
     p = elementwise.mapped(t, lambda x: (x[0],), "double")
     _tight(product.mixed_product(m, p, "fast"), *_exact_gram(lo, hi, lo.T, lo.T), 1e-10)
+
+
+def test_point_times_interval_of_many_terms(spark, long_intervals):
+    m, t, lo, hi = long_intervals
+    p = elementwise.mapped(m, lambda x: (x[0],), "double")
+    _tight(product.mixed_product(p, t, "fast"), *_exact_gram(lo, lo, lo.T, hi.T), 1e-10)
