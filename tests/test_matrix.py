@@ -506,3 +506,9 @@ def test_point_times_interval_of_many_terms(spark, long_intervals):
     m, t, lo, hi = long_intervals
     p = elementwise.mapped(m, lambda x: (x[0],), "double")
     _tight(product.mixed_product(p, t, "fast"), *_exact_gram(lo, lo, lo.T, hi.T), 1e-10)
+
+
+def test_verified_gram_of_many_terms(spark, long_intervals):
+    m, t, lo, hi = long_intervals
+    p = elementwise.mapped(t, lambda x: (x[0],), "double")
+    _tight(product.verified_gram(p), *_exact_gram(lo, lo, lo.T, lo.T, square=True), 1e-10)
