@@ -518,3 +518,14 @@ def test_fast_verified_gram_of_many_terms(spark, long_intervals):
     m, t, lo, hi = long_intervals
     p = elementwise.mapped(t, lambda x: (x[0],), "double")
     _tight(red.symmetrised(product.verified_gram(p, "fast")), *_exact_gram(lo, lo, lo.T, lo.T, square=True), 1e-10)
+
+
+def test_outer_gathers_nothing(spark, rng):
+    """No grouping of its n * n elements, and not all rows of both in the one task of their inner index."""
+    x, y = rng.normal(size=(40, 1)), rng.normal(size=(1, 30))
+    d = product.outer(of(spark, x), of(spark, y))
+    assert np.array_equal(d.collect(), x @ y) and d.shape == (40, 30)
+    plan = d.df._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan
+    whole = elementwise.mapped(of(spark, [[2.0], [3.0]]), lambda v: (v[0].cast("int"),), "int")
+    assert product.outer(whole, reshape.transpose(whole)).df.count() == 4
