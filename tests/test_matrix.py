@@ -529,3 +529,13 @@ def test_outer_gathers_nothing(spark, rng):
     assert "Aggregate" not in plan and "SortMergeJoin" not in plan
     whole = elementwise.mapped(of(spark, [[2.0], [3.0]]), lambda v: (v[0].cast("int"),), "int")
     assert product.outer(whole, reshape.transpose(whole)).df.count() == 4
+
+
+def test_solver_queries_keep_their_system(spark, tmp_path):
+    """The system's sums, which depend in their last bits on the order of adding, are made once: the residual is of what was solved."""
+    from enclosa.plans import queries
+
+    rows = [(float(k % 50 + 1), 0.1 * k + 0.01) for k in range(300)]
+    spark.createDataFrame(rows, "l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for m in queries._one_system(spark, str(tmp_path), "dd"):
+        assert "lineitem.parquet" not in m.df._jdf.queryExecution().toString()
