@@ -12,8 +12,9 @@ are collapsed to the earliest; those that remain are brought together by anchor,
 their suffixes are sorted by the difference-cover algorithm (sample triples
 sorted and named, recursion on the names, merge of the remaining suffixes), and
 adjacent prefixes are compared.  An anchor with more than HOT different contexts
-would make a task large; its starts are grouped by their LENGTH bytes instead,
-with partial aggregation, which gives the same classes.
+would make a task large; its contexts are cut again by anchors of more bytes (WIDER),
+which equal prefixes share as well, and go the same way.  What stays hot after the
+last of these is grouped by its LENGTH bytes, with partial aggregation, which gives the same classes.
 
 No task ever gathers one anchor's rows: counts and minima are aggregated in
 part before each shuffle, and what comes back to a document is about that document.
@@ -46,6 +47,8 @@ LENGTH, K = 100, 20
 START_BITS = 28
 #: Contexts of an anchor that are sorted together; bytes of contexts in one suffix array; starts looked at together.
 HOT, SORTED, SPAN = 2000, 1 << 19, 1 << 19
+#: Bytes of the anchors that cut the contexts of hot ones again.
+WIDER = (60, 90)
 #: Hot anchors that are broadcast: 8 MB of numbers.
 BROADCAST = 1 << 20
 _POS = np.uint64(22)
@@ -159,8 +162,11 @@ def _flags(own: list[bytes], pos: np.ndarray) -> list[bytes]:
     return [np.packbits(later[e - k : e]).tobytes() for e, k in zip(ends, n, strict=True)]
 
 
-def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pos, flags) for (anchor, context, pos) sorted by anchor; whole anchors, up to SORTED bytes, share a suffix array."""
+def _sorted_contexts(batches: Iterator[pa.RecordBatch], first: bool = False) -> Iterator[pa.RecordBatch]:
+    """(pos, flags) for (anchor, context, pos) sorted by anchor; whole anchors, up to SORTED bytes, share a suffix array.
+
+    With ``first`` the flags are of the starts that have no earlier one, and never left out.
+    """
     parts: list[pa.RecordBatch] = []
     held = 0
 
@@ -173,6 +179,10 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             flags = np.full(len(pos), b"", object)
             if len(several):
                 flags[several] = _flags(t.column(1).take(several).to_pylist(), pos[several])
+            if first:
+                n = pa.compute.binary_length(t.column(1)).to_numpy() - LENGTH + 1
+                later = (np.unpackbits(np.frombuffer(f, np.uint8), count=k) if f else np.zeros(k, np.uint8) for f, k in zip(flags, n.tolist(), strict=True))
+                flags = np.array([np.packbits(1 - x).tobytes() for x in later], object)
             yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(flags, pa.binary())], ["pos", "flags"])
 
     last = None
@@ -191,6 +201,26 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     give_back()
 
 
+def _first_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _sorted_contexts(batches, True)
+
+
+def _parts(k: int):
+    """(anchor, context, pos) for (context, pos): its contexts by anchors of ``k`` bytes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 5000):
+                s = b.slice(lo, 5000)
+                own, pos = s.column(0).to_pylist(), s.column(1).to_numpy()
+                raw, off = b"".join(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+                row, first, last, anchor = contexts(np.frombuffer(raw, np.uint8), off, LENGTH, k)
+                cut = [raw[i : j + LENGTH] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(cut, pa.binary()), pa.array(pos[row] + first - off[row])], ["anchor", "context", "pos"])
+
+    return part
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(window, pos) for each start of (context, pos)."""
     for b in batches:
@@ -223,9 +253,11 @@ def _removed(row, first, last, off, unique, outs, kept, n: int) -> np.ndarray:
     np.add.at(step, first[gone], 1)
     np.add.at(step, last[gone] + 1, -1)
     later |= np.cumsum(step)[: n + 1] > 0
-    kf, ko = kept.flatten().to_numpy().astype(np.int64), pa.compute.list_parent_indices(kept).to_numpy().astype(np.int64)
     stays = np.zeros(n + 1, bool)
-    stays[off[ko] + kf] = True
+    some = kept.flatten()
+    begin = off[pa.compute.list_parent_indices(kept).to_numpy().astype(np.int64)] + some.field(0).to_numpy().astype(np.int64)
+    for i, bits in zip(begin.tolist(), some.field(1).to_pylist(), strict=True):
+        stays[i + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))] = True
     for c in np.flatnonzero(found):
         f = flags[int(o[at[c]])].as_py()
         i, j = first[c], last[c] + 1
@@ -307,13 +339,29 @@ def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
 
     hot = shared.keep(first.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
     # One hot anchor for each HOT contexts at most; a list beyond the bound is joined by sorting.
-    hint = F.broadcast if hot.count() <= BROADCAST else lambda d: d
+    bounded = lambda n: F.broadcast if n <= BROADCAST else lambda d: d
+    n = hot.count()
+    hint = bounded(n)
     cold = first.join(hint(hot), "anchor", "left_anti").select("anchor", "context", "pos")
     flags = shared.keep(cold.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_contexts, "pos long, flags binary"), "flags")
     shared.release()
     many = first.join(hint(hot), "anchor", "left_semi")
-    stays = many.select("context", "pos").mapInArrow(_windows, "window binary, pos long").groupBy("window").agg(F.min("pos").alias("pos"))
-    kept = shared.keep(_located(stays).groupBy("doc_id").agg(F.collect_list("start").alias("kept")), "kept")
+    rest, found = many, []
+    for k in WIDER if n else ():
+        parts = rest.select("context", "pos").mapInArrow(_parts(k), "anchor long, context binary, pos long")
+        parts = shared.keep(parts.groupBy("anchor", "context").agg(F.min("pos").alias("pos")), f"parts-{k}")
+        still = shared.keep(parts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), f"hot-{k}")
+        n = still.count()
+        few = parts.join(bounded(n)(still), "anchor", "left_anti").select("anchor", "context", "pos")
+        found.append(few.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_first_starts, "pos long, flags binary"))
+        rest = parts.join(bounded(n)(still), "anchor", "left_semi")
+        if not n:
+            break
+    stays = rest.select("context", "pos").mapInArrow(_windows, "window binary, pos long").groupBy("window").agg(F.min("pos").alias("pos"))
+    stays = stays.select("pos", F.lit(b"\x80").alias("flags"))
+    for d in found:
+        stays = stays.unionByName(d)
+    kept = shared.keep(_located(stays, "flags").groupBy("doc_id").agg(F.collect_list(F.struct("start", "flags")).alias("kept")), "kept")
     outs = flags.unionByName(many.select("pos", F.lit(None).cast("binary").alias("flags")))
     outs = shared.keep(_located(outs, "flags").groupBy("doc_id").agg(F.collect_list(F.struct("start", "flags")).alias("outs")), "outs")
     for t in (first, hot, flags):
@@ -324,7 +372,7 @@ def _removals(docs: DataFrame, text_out: bool, extra: list[str]) -> DataFrame:
     lists = unique.join(outs, "doc_id", "full").join(kept, "doc_id", "full")
     every = docs.join(lists, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("unique", none).alias("unique"),
-        F.coalesce("outs", F.array().cast("array<struct<start:int,flags:binary>>")).alias("outs"), F.coalesce("kept", none).alias("kept"), *extra)
+        F.coalesce("outs", F.array().cast("array<struct<start:int,flags:binary>>")).alias("outs"), F.coalesce("kept", F.array().cast("array<struct<start:int,flags:binary>>")).alias("kept"), *extra)
     kinds = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, last string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
     out = every.mapInArrow(_finished(text_out, extra), kinds)
     return out if text_out else shared.finish(out)  # a few numbers a document; texts are written by whoever wants them

@@ -188,3 +188,23 @@ def test_run_cuts_passages_and_keeps_the_rest(spark, tmp_path):
     plain = {r["doc_id"]: r["doc_tokens"] for r in packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary()).collect()}
     assert [k for k in range(24) if seen[k] < 0.9 * plain[k]] == [4, 8, 12, 16, 20]
     assert all(seen[k] == plain[k] for k in range(24) if k % 4)
+
+
+def test_hot_contexts_are_cut_again_and_not_spelt_out():
+    """Wider anchors cover the starts of a context once, in few rows; equal prefixes keep a common anchor."""
+    import pyarrow as pa
+    from enclosa.llm import substring_dedup as sd
+
+    r = random.Random(3)
+    line = bytes(r.choice(b"abcdefgh ") for _ in range(150))
+    own = [bytes(r.choice(b"abcdefgh ") for _ in range(30)) + line[15 * (k % 2) :] for k in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([k << sd.START_BITS for k in range(40)], pa.int64())], ["context", "pos"])
+    windows = [(w, p) for b in sd._windows([rows]) for w, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    for k, share in zip(sd.WIDER, (8, 3), strict=True):
+        found = [x for b in sd._parts(k)([rows]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert len(found) * share < len(windows)
+        spelt = [(c[i : i + sd.LENGTH], p + i, a) for a, c, p in found for i in range(len(c) - sd.LENGTH + 1)]
+        assert sorted((w, p) for w, p, _ in spelt) == sorted(windows)
+        anchors = {}
+        for w, _, a in spelt:
+            assert anchors.setdefault(w, a) == a
