@@ -539,3 +539,14 @@ def test_solver_queries_keep_their_system(spark, tmp_path):
     spark.createDataFrame(rows, "l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     for m in queries._one_system(spark, str(tmp_path), "dd"):
         assert "lineitem.parquet" not in m.df._jdf.queryExecution().toString()
+
+
+def test_hybrid_solve_keeps_its_system(spark, tmp_path):
+    """The residual that decides ``precise`` is of the sums that were solved, not of sums made again in another order."""
+    from enclosa.plans import queries
+
+    rows = [(float(k % 50 + 1), 0.1 * k + 0.01) for k in range(300)]
+    spark.createDataFrame(rows, "l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = queries.f07_hybrid_solve(spark, str(tmp_path))
+    assert d.inputFiles() == []
+    assert {(r.i, r.precise) for r in d.collect()} == {(0, True), (1, True)}
