@@ -550,3 +550,25 @@ def test_hybrid_solve_keeps_its_system(spark, tmp_path):
     d = queries.f07_hybrid_solve(spark, str(tmp_path))
     assert d.inputFiles() == []
     assert {(r.i, r.precise) for r in d.collect()} == {(0, True), (1, True)}
+
+
+@pytest.fixture(scope="module")
+def cancelling_vectors(spark, tmp_path_factory):
+    """1301 embeddings whose first two columns have great terms and a small product, just above the middle of two numbers of five digits."""
+    folder = str(tmp_path_factory.mktemp("cancelling"))
+    first = [2.0**19, -(2.0**19)] * 650 + [5.00002e-6]
+    rows = [(k, [v, 1.0] + [0.0] * 62) for k, v in enumerate(first)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def _row(d, i, j):
+    r = d.where((F.col("i") == i) & (F.col("j") == j)).first()
+    return r.lo, r.hi, r.holds, r.narrow
+
+
+def test_point_interval_query_rounds_as_the_exact_product(spark, cancelling_vectors):
+    """A bound of plain sums takes the lower end over the middle, to the next number of five digits."""
+    from enclosa.plans import queries
+
+    assert _row(queries.d14_point_interval(spark, cancelling_vectors), 0, 1) == (-162.62499, 162.62501, True, True)
