@@ -572,3 +572,9 @@ def test_point_interval_query_rounds_as_the_exact_product(spark, cancelling_vect
     from enclosa.plans import queries
 
     assert _row(queries.d14_point_interval(spark, cancelling_vectors), 0, 1) == (-162.62499, 162.62501, True, True)
+
+
+def test_verified_gram_query_rounds_as_the_exact_product(spark, cancelling_vectors):
+    from enclosa.plans import queries
+
+    assert _row(queries.d12_verified_gram(spark, cancelling_vectors), 0, 1) == (1e-05, 1e-05, True, True)
