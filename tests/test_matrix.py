@@ -1,6 +1,7 @@
 """Matrices against numpy and exact rationals."""
 
 import math
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import numpy as np
@@ -578,3 +579,40 @@ def test_verified_gram_query_rounds_as_the_exact_product(spark, cancelling_vecto
     from enclosa.plans import queries
 
     assert _row(queries.d12_verified_gram(spark, cancelling_vectors), 0, 1) == (1e-05, 1e-05, True, True)
+
+
+def test_exact_totals(spark, rng):
+    """Sums to double-double accuracy of numbers that cancel, with nulls and an empty column, for any partitioning."""
+    v = [*(rng.normal(size=400) * 10.0 ** rng.integers(-8, 9, size=400)).tolist(), None]
+    v = [*v, *(-x for x in v[:390])]
+    d = spark.createDataFrame([(x, None) for x in v], "v double, none double")
+    exact = sum(Fraction(x) for x in v if x is not None)
+    for n in (1, 7):
+        r = red.exact_totals(d.repartition(n), {"v": (F.col("v"),), "vv": X.two_prod(F.col("v"), F.col("v")), "none": (F.col("none"),)}).first()
+        assert r.v.hi == float(exact) and abs(Fraction(r.v.hi) + Fraction(r.v.lo) - exact) < abs(exact) * Fraction(2) ** -80
+        assert r.vv.hi == float(sum(Fraction(x) ** 2 for x in v if x is not None)) and r.none is None
+
+
+def test_double_double_product_rounds_no_slice(spark):
+    """Two terms whose slices' products need 54 bits together."""
+    x = [[1 - 2.0**-20, 2.0**-27 - 2.0**-11], [3.0, -0.1]]
+    a = elementwise.convert(of(spark, x), "dd")
+    for r in product.dd_product(a, reshape.transpose(a)).df.collect():
+        exact = sum(Fraction(u) * Fraction(v) for u, v in zip(x[r.i], x[r.j], strict=True))
+        assert abs(Fraction(r.hi) + Fraction(r.lo) - exact) <= abs(exact) * Fraction(2) ** -100
+
+
+def test_refined_eigenpairs_query_sums_without_rounding(spark, tmp_path):
+    """Plain sums of quantities that are not whole are off in the digits that the query returns; and these pairs are precise only if no slice's product is rounded."""
+    from enclosa.plans import queries
+
+    q = [123.456789 + 0.1 * k for k in range(20000)]
+    spark.createDataFrame([(x, 1.0) for x in q], "l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    n, x, xx = len(q), sum(map(Fraction, q)), sum(Fraction(v) ** 2 for v in q)
+    with localcontext() as c:
+        c.prec = 60
+        n, x, xx = (Decimal(v.numerator) / v.denominator for v in (Fraction(n), x, xx))
+        root = ((n - xx) ** 2 / 4 + x * x).sqrt()
+        ends = [round(float((n + xx) / 2 + s * root), 3) for s in (-1, 1)]
+    got = sorted(queries.f17_refined_eigenpairs(spark, str(tmp_path)).collect())
+    assert [(r.v, r.precise) for r in got] == [(e, True) for e in ends]
